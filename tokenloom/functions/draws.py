@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 WORD = 4294967295
@@ -20,6 +22,14 @@ def unit(*parts: Column | int | str) -> Column:
     return hash32(*parts) / F.lit(SCALE)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and hand it to `body`.
+
+    A value named inside a lambda over an array would otherwise be computed for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _fold(x: Column) -> Column:
     return F.shiftrightunsigned(x, 16).bitwiseXOR(x)
 
@@ -34,9 +44,12 @@ def position_words(seed_word: Column, array: Column) -> Column:
     def mix(x: Column) -> Column:
         return (_fold(x) * F.lit(73244475)).bitwiseAND(F.lit(WORD))
 
-    start = F.transform(
-        array,
-        lambda _, i: (seed_word + i.cast("bigint") * F.lit(2654435769)).bitwiseAND(F.lit(WORD)),
+    start = bind(
+        seed_word,
+        lambda seed: F.transform(
+            array,
+            lambda _, i: (seed + i.cast("bigint") * F.lit(2654435769)).bitwiseAND(F.lit(WORD)),
+        ),
     )
     return F.transform(F.transform(start, mix), mix)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tokenloom.constants import EOS_IDS, IGNORE_LABEL, MASK_ID, NOISE_HIGH, NOISE_LOW, SEED
-from tokenloom.functions.draws import SCALE, final_word, hash32, position_words, unit
+from tokenloom.functions.draws import SCALE, bind, final_word, hash32, position_words, unit
 from tokenloom.functions.ids import is_eos
 
 BLOCK_KEY = ("epoch", "shard", "chunk_id")
@@ -24,10 +24,11 @@ def noise_level(
 
 def drawn_mask(df: DataFrame, seed: int = SEED) -> DataFrame:
     """Add `drawn`: per position, whether its hashed uniform draw lies below `t`."""
-    keyed = df.withColumn("_word", hash32("m", seed, *[F.col(c) for c in BLOCK_KEY]))
-    words = position_words(F.col("_word"), F.col("input_ids"))
-    limit = F.col("t") * F.lit(SCALE)
-    return keyed.withColumn("drawn", F.transform(words, lambda x: final_word(x) < limit)).drop("_word")
+    words = position_words(hash32("m", seed, *[F.col(c) for c in BLOCK_KEY]), F.col("input_ids"))
+    drawn = bind(
+        F.col("t") * F.lit(SCALE), lambda limit: F.transform(words, lambda x: final_word(x) < limit)
+    )
+    return df.withColumn("drawn", drawn)
 
 
 def mask_positions(df: DataFrame, eos_ids: Sequence[int] = EOS_IDS) -> DataFrame:

@@ -67,45 +67,53 @@ def pack_offsets(df: DataFrame, streams: int = 1) -> DataFrame:
     )
 
 
-def pieces_of(offsets: DataFrame, keys: list[str], span: int, with_ids: bool = True) -> DataFrame:
+def pieces_of(
+    offsets: DataFrame, keys: list[str], span: int, with_ids: bool = True, keep: Column | None = None
+) -> DataFrame:
     """Cut examples at multiples of `span` tokens: one row per example and batch it touches.
 
     An example that ends a batch also sends a piece, possibly of no tokens, to the next batch, so
-    that each batch knows the ordinal that completed the one before it (`done_before`).
+    that each batch knows the ordinal that completed the one before it (`done_before`). `keep`
+    picks rows by `batch_id` before anything is cut. Slices stand outside of array lambdas, where
+    they compile; inside they would box every token.
     """
-    cut = offsets.where("n_tokens > 0").select(
+    touched = offsets.where("n_tokens > 0").select(
         *keys,
         "ordinal",
         "start",
         "end",
         *(["input_ids", "prompt_length"] if with_ids else []),
+        *(["bucket_start", "bucket_end"] if keep is not None else []),
         F.explode(F.sequence(F.expr(f"start div {span}"), F.expr(f"end div {span}"))).alias("batch_id"),
     )
+    if keep is not None:
+        touched = touched.where(keep)
     low = F.greatest(F.col("start"), F.col("batch_id") * span)
-    high = F.least(F.col("end"), (F.col("batch_id") + 1) * span)
-    cut = cut.withColumns({"low": low, "n": high - low})
+    n = F.least(F.col("end"), (F.col("batch_id") + 1) * span) - low
     columns = [
         *keys,
         "batch_id",
-        "low",
-        "n",
-        F.when(F.col("n") > 0, F.col("ordinal")).alias("done"),
+        low.alias("low"),
+        n.alias("n"),
+        F.when(n > 0, F.col("ordinal")).alias("done"),
         F.when(F.col("start") < F.col("batch_id") * span, F.col("ordinal")).alias("done_before"),
     ]
     if with_ids:
-        skipped = (F.col("low") - F.col("start")).cast("int")
+        skipped, size = (low - F.col("start")).cast("int"), n.cast("int")
+        hidden = F.greatest(F.least(F.col("prompt_length") - skipped, size), F.lit(0))
         columns += [
-            F.slice("input_ids", skipped + 1, F.col("n").cast("int")).alias("ids"),
-            F.greatest(F.least(F.col("prompt_length") - skipped, F.col("n").cast("int")), F.lit(0)).alias(
-                "hidden"
-            ),
+            F.slice("input_ids", skipped + 1, size).alias("ids"),
+            F.concat(
+                F.array_repeat(F.lit(IGNORE_LABEL).cast("bigint"), hidden),
+                F.slice("input_ids", skipped + hidden + 1, size - hidden),
+            ).alias("labels"),
         ]
-    return cut.select(*columns)
+    return touched.select(*columns)
 
 
 def gather(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """Put the pieces of each batch together: at most one batch of tokens per group."""
-    part = F.when(F.col("n") > 0, F.struct("low", "ids", "hidden"))
+    part = F.when(F.col("n") > 0, F.struct("low", "ids", "labels"))
     return pieces.groupBy(*keys, "batch_id").agg(
         F.sum("n").alias("n_tokens"),
         F.max("done").alias("done"),
@@ -114,13 +122,6 @@ def gather(pieces: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _labels_of(part: Column) -> Column:
-    return F.concat(
-        F.array_repeat(F.lit(IGNORE_LABEL).cast("bigint"), part["hidden"]),
-        F.slice(part["ids"], part["hidden"] + 1, F.size(part["ids"])),
-    )
-
-
 def blocks_of(batches: DataFrame, keys: list[str], max_length: int, batch_size: int) -> DataFrame:
     """Cut gathered batches into blocks of `max_length` ids with labels."""
     flat = batches.select(
@@ -128,7 +129,7 @@ def blocks_of(batches: DataFrame, keys: list[str], max_length: int, batch_size:
         "batch_id",
         (F.col("done") - F.col("done_before")).alias("num_instruction"),
         F.flatten(F.transform("parts", lambda p: p["ids"])).alias("input_ids"),
-        F.flatten(F.transform("parts", _labels_of)).alias("labels"),
+        F.flatten(F.transform("parts", lambda p: p["labels"])).alias("labels"),
     )
     if batch_size == 1:
         return flat.select(
@@ -159,12 +160,14 @@ def pack(
     """
     span = max_length * batch_size
     offsets = pack_offsets(record_defaults(df), streams)
-    pieces = pieces_of(offsets, [*STREAM, "key_bucket", "bucket_start", "bucket_end"], span)
-    inside = (F.col("bucket_end") >= (F.col("batch_id") + 1) * span) & (
-        (F.col("batch_id") == 0) | (F.col("bucket_start") < F.col("batch_id") * span)
+
+    begins = (F.col("bucket_start") < F.col("batch_id") * span) | (
+        (F.col("batch_id") == 0) & (F.col("bucket_start") == 0)
     )
-    whole = gather(pieces.where(inside), [*STREAM, "key_bucket"]).drop("key_bucket")
-    border = gather(pieces.where(~inside), STREAM)
+    inside = begins & (F.col("bucket_end") >= (F.col("batch_id") + 1) * span)
+    whole = gather(pieces_of(offsets, [*STREAM, "key_bucket"], span, keep=inside), [*STREAM, "key_bucket"])
+    whole = whole.drop("key_bucket")
+    border = gather(pieces_of(offsets, STREAM, span, keep=~inside), STREAM)
     border = border.where(F.col("n_tokens") == span if drop_tail else F.col("n_tokens") > 0)
     return blocks_of(whole.unionByName(border), STREAM, max_length, batch_size)
 

@@ -36,14 +36,18 @@ def running_totals(
     totals: Mapping[str, Column],
     max_buckets: int | None = None,
     keep_bounds: bool = False,
+    below: int | None = None,
 ) -> DataFrame:
     """Add one inclusive running total per entry of `totals`.
 
     `bucket` must be monotone in `order`. The bucket table is broadcast by hint only when the
     caller proves a bound of `max_buckets` rows; otherwise it is joined on the bucket key,
-    whose partitioning the window then shares.
+    whose partitioning the window then shares. `below` leaves out buckets where every total has
+    reached that value before they start.
     """
     starts = bucket_starts(df, group, bucket, totals)
+    if below is not None:
+        starts = starts.where(F.least(*[F.col(f"{n}_before") for n in totals], F.lit(below)) < below)
     if max_buckets is not None and max_buckets <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
     inside = (
@@ -71,6 +75,14 @@ def number_rows(
     order: Sequence[str | Column],
     name: str = "ordinal",
     max_buckets: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Add a dense 1-based ordinal per group, exact over all partitions."""
-    return running_totals(df, group, bucket, order, {name: F.lit(1).cast("bigint")}, max_buckets)
+    """Add a dense 1-based ordinal per group, exact over all partitions.
+
+    With a `limit` only rows up to that ordinal are returned, and buckets that start beyond it are
+    neither shuffled nor sorted.
+    """
+    one = {name: F.lit(1).cast("bigint")}
+    if limit is None:
+        return running_totals(df, group, bucket, order, one, max_buckets)
+    return running_totals(df, group, bucket, order, one, max_buckets, below=limit).where(F.col(name) <= limit)

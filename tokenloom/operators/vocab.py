@@ -32,8 +32,8 @@ def build_vocab(df: DataFrame, text: str = "text", max_vocab: int = VOCAB_SIZE)
             "head": F.when(F.col("n") <= EXACT_COUNTS, F.substring("token", 1, 2)).otherwise(F.lit("")),
         }
     )
-    ranked = number_rows(levelled, [], ["level", "head"], [F.desc("n"), F.asc("token")], "token_id")
-    return ranked.where(F.col("token_id") <= max_vocab).select("token", "n", "token_id")
+    ranked = number_rows(levelled, [], ["level", "head"], [F.desc("n"), F.asc("token")], "token_id", limit=max_vocab)
+    return ranked.select("token", "n", "token_id")
 
 
 def lookup_elements(

@@ -21,7 +21,7 @@ SHARD = ["shard"]
 ARRIVALS_PER_BUCKET = 65536
 BATCHES = (
     "shard int, batch_id bigint, n_tokens bigint, done bigint, done_before bigint, "
-    "parts array<struct<low: bigint, ids: array<bigint>, hidden: int>>"
+    "parts array<struct<low: bigint, ids: array<bigint>, labels: array<bigint>>>"
 )
 COUNTERS = "shard int, examples bigint, tokens bigint"
 
@@ -47,7 +47,7 @@ def _carried_pieces(spark: SparkSession, sink: str, number: int) -> DataFrame:
         "done",
         "done_before",
         F.col("part.ids").alias("ids"),
-        F.col("part.hidden").alias("hidden"),
+        F.col("part.labels").alias("labels"),
     )
 
 
