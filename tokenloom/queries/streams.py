@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from tokenloom.operators import order
 from tokenloom.operators.packing import record_defaults
@@ -43,16 +43,12 @@ def stream_folder(spark, sf_dir) -> str:
 def _packed_sink(spark, sf_dir, files_per_trigger=1) -> str:
     source = stream_folder(spark, sf_dir)
     sink = new_folder(spark, "packed")
-    stream = stream_records(spark, source, _schema(), files_per_trigger, glob="*.json")
+    stream = stream_records(spark, source, SCHEMA, files_per_trigger, glob="*.json")
     query = stream_packing.pack_stream(stream, sink, new_folder(spark, "offsets"), BLOCK, BATCH)
     query.awaitTermination()
     return sink
 
 
-def _schema() -> T.StructType:
-    return T.StructType.fromDDL(SCHEMA)
-
-
 def scan_jsonl_stream(spark, sf_dir):
     folder, sink = new_folder(spark, "raw"), new_folder(spark, "scanned")
     views.instruction_records(spark, sf_dir).write.json(folder)
@@ -95,7 +91,7 @@ def stream_backpressure(spark, sf_dir):
     def keep(rows, number):
         rows.select("arrival").withColumn("micro", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/m={number}")
 
-    stream = stream_records(spark, source, _schema(), 1, glob="*.json")
+    stream = stream_records(spark, source, SCHEMA, 1, glob="*.json")
     (
         stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", new_folder(spark, "offsets"))
@@ -113,16 +109,16 @@ def stream_stop(spark, sf_dir):
     """A stopped stream resumes after what it has taken: a second run adds nothing."""
     source, sink, offsets = stream_folder(spark, sf_dir), new_folder(spark, "stopped"), new_folder(spark, "offsets")
     for _ in range(2):
-        query = run_stream(stream_records(spark, source, _schema(), 2, glob="*.json"), sink, offsets)
+        query = run_stream(stream_records(spark, source, SCHEMA, 2, glob="*.json"), sink, offsets)
         query.awaitTermination()
         query.stop()
-    return spark.read.schema(_schema()).parquet(sink).select("arrival", "id")
+    return spark.read.schema(SCHEMA).parquet(sink).select("arrival", "id")
 
 
 def stream_counters(spark, sf_dir):
     """Record and token counters observed by the stream itself."""
     source = stream_folder(spark, sf_dir)
-    stream = record_defaults(stream_records(spark, source, _schema(), 1, glob="*.json")).observe(
+    stream = record_defaults(stream_records(spark, source, SCHEMA, 1, glob="*.json")).observe(
         "counters", F.count(F.lit(1)).alias("records"), F.sum(F.size("input_ids")).alias("tokens")
     )
     query = run_stream(stream, new_folder(spark, "counted"), new_folder(spark, "offsets"))
