@@ -26,7 +26,6 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.files.maxPartitionBytes", str(4 << 20))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -43,7 +42,7 @@ def main() -> None:
     ordered = order.assign_shards(order.order_epochs(records), 1)
     blocks = stage(packing.pack(ordered, 256, 1), "blocks")
     tokens = records.agg(F.sum("n_tokens")).collect()[0][0]
-    docs = views.table(spark, SF_DIR, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = views.documents(spark, SF_DIR)
 
     def registered(name):
         return lambda: REGISTRY[name][0](spark, SF_DIR)

@@ -53,6 +53,34 @@ def test_equals_sequential_model(spark):
             assert r.labels[i] == (label if hit else -100)
 
 
+def test_equals_the_steps_as_expressions(spark):
+    clean = blocks(spark, 300).withColumn("batch_id", F.col("chunk_id") % 7)
+    steps = noising.mask_positions(noising.drawn_mask(noising.noise_level(clean)))
+    noisy = noising.apply_mask(F.col("input_ids"), F.col("masked"))
+    want = steps.select(
+        "epoch",
+        "shard",
+        "chunk_id",
+        "batch_id",
+        noising.restore_prompt(noisy, F.col("input_ids"), F.col("labels")).alias("input_ids"),
+        noising.restrict_labels(F.col("labels"), F.col("masked")).alias("labels"),
+        "t",
+    )
+    got = noising.noise(clean)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert got.select(want.columns).exceptAll(want).count() == 0 == want.exceptAll(got.select(want.columns)).count()
+
+
+def test_empty_and_uneven_blocks(spark):
+    rows = [(0, 0, i, [5] * n, [5] * n) for i, n in enumerate([0, 3, 0, 1, 40])]
+    df = spark.createDataFrame(
+        rows, "epoch int, shard int, chunk_id bigint, input_ids array<bigint>, labels array<bigint>"
+    ).coalesce(1)
+    out = noising.noise(df).orderBy("chunk_id").collect()
+    assert [len(r.input_ids) for r in out] == [0, 3, 0, 1, 40] == [len(r.labels) for r in out]
+    assert noising.noise(df.where("chunk_id > 9")).count() == 0
+
+
 def test_invariants(spark):
     joined = noising.noise(blocks(spark, 200)).collect()
     clean = {r.chunk_id: r for r in blocks(spark, 200).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 WORD = 4294967295
@@ -56,3 +57,11 @@ def position_words(seed_word: Column, array: Column) -> Column:
 
 def final_word(x: Column) -> Column:
     return _fold(x)
+
+
+def position_draws(seed_words: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """The same draws as `final_word` over `position_words`, in [0, 1), for flat arrays."""
+    x = (seed_words.astype(np.int64) + positions.astype(np.int64) * 2654435769) & WORD
+    for _ in range(2):
+        x = ((x >> 16 ^ x) * 73244475) & WORD
+    return (x >> 16 ^ x) / SCALE

@@ -27,8 +27,8 @@ def encode_record(encoder: HashEncoder, text: Column, end_id: int, max_length: i
 def drop_overlong(ids: Column, max_length: int) -> Column:
     """One-row generator: the ids, or no row when they fill `max_length`.
 
-    A generator keeps the encoded value; a `where` on it would be pushed below the projection and
-    encode every text twice.
+    A generator keeps the value encoded below it; a `where` would be pushed below the projection and
+    encode every text twice. Encode in a projection of its own: generators are not compiled.
     """
     return F.explode(F.filter(F.array(ids), lambda a: F.size(a) < max_length))
 
@@ -47,11 +47,10 @@ def tokenize(
     """
     text = F.concat(clean("instruction"), clean("input"), clean("output"))
     prompt = F.concat(clean("instruction"), clean("input"))
-    kept = df.select(
-        "id",
-        prompt.alias("prompt"),
-        drop_overlong(encode_record(encoder, text, end_id, max_length), max_length).alias("input_ids"),
+    encoded = df.select(
+        "id", prompt.alias("prompt"), encode_record(encoder, text, end_id, max_length).alias("encoded")
     )
+    kept = encoded.select("id", "prompt", drop_overlong(F.col("encoded"), max_length).alias("input_ids"))
     out = kept.select(
         "id",
         "input_ids",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tokenloom.constants import UNKNOWN_ID, VOCAB_SIZE
 from tokenloom.functions.text import tokens
@@ -39,26 +41,27 @@ def build_vocab(df: DataFrame, text: str = "text", max_vocab: int = VOCAB_SIZE)
 def lookup_elements(
     df: DataFrame,
     key: str,
-    elements: str,
+    column: str,
+    elements: Callable[[Column], Column],
     table: DataFrame,
     source: str,
     target: str,
     default,
     out: str,
 ) -> DataFrame:
-    """`key, out`: every array element replaced through a bounded two-column table.
+    """`key, out`: every element that `elements` finds in `column`, replaced through a bounded table.
 
-    The rows are exchanged once as they are (by their unique key), and exploded, looked up and
+    The rows are exchanged once as they are (by their unique key), and taken apart, looked up and
     gathered inside their partition: the far larger set of single elements is never shuffled.
     """
-    placed = df.select(key, elements).repartition(key)
-    single = placed.select(key, F.posexplode_outer(elements).alias("pos", source))
+    placed = df.select(key, column).repartition(key)
+    single = placed.select(key, F.posexplode_outer(elements(F.col(column))).alias("pos", source))
     looked_up = single.join(F.broadcast(table.select(source, target)), source, "left")
     found = F.struct("pos", F.coalesce(F.col(target), F.lit(default)).alias("value"))
     gathered = looked_up.groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), found))).alias("found")
     )
-    return gathered.select(key, F.transform("found", lambda f: f["value"]).alias(out))
+    return gathered.select(key, F.col("found.value").alias(out))
 
 
 def bounded(vocab: DataFrame, max_vocab: int) -> DataFrame:
@@ -70,10 +73,8 @@ def vocab_encode(
     df: DataFrame, text: str, vocab: DataFrame, key: str = "id", max_vocab: int = VOCAB_SIZE
 ) -> DataFrame:
     """`id, input_ids`: tokens by vocabulary id, 0 for unknown ones."""
-    split = df.select(key, tokens(F.col(text)).alias("tokens"))
-    return lookup_elements(
-        split, key, "tokens", bounded(vocab, max_vocab), "token", "token_id", UNKNOWN_ID, "input_ids"
-    )
+    table = bounded(vocab, max_vocab)
+    return lookup_elements(df, key, text, tokens, table, "token", "token_id", UNKNOWN_ID, "input_ids")
 
 
 def decode(
@@ -89,11 +90,13 @@ def decode(
     """`id, text`: ids back to text, tokens separated by single spaces."""
     special = special or {}
     table = bounded(vocab, max_vocab).select("token_id", "token")
-    rows = df.withColumnRenamed(ids, "_ids")
-    if special and skip_special:
-        rows = rows.withColumn("_ids", F.filter("_ids", lambda x: ~x.isin(*special)))
-    elif special:
+    hidden = list(special) if skip_special else []
+    if special and not skip_special:
         names = F.inline(F.array(*[F.struct(F.lit(i).cast("bigint"), F.lit(t)) for i, t in special.items()]))
         table = table.unionByName(df.sparkSession.range(1).select(names.alias("token_id", "token")))
-    words = lookup_elements(rows, key, "_ids", table, "token_id", "token", unknown, "words")
+
+    def shown(column: Column) -> Column:
+        return F.filter(column, lambda x: ~x.isin(*hidden)) if hidden else column
+
+    words = lookup_elements(df, key, ids, shown, table, "token_id", "token", unknown, "words")
     return words.select(key, F.array_join("words", " ").alias("text"))

@@ -67,7 +67,7 @@ def compose_text(spark, sf_dir):
 def token_encode(spark, sf_dir):
     raw = prepare.compose(views.instruction_records(spark, sf_dir), end_text="")
     ids = prepare.encode_record(HashEncoder(), F.col("text"), 126081, BLOCK)
-    return raw.select("id", F.explode(F.array(ids)).alias("x")).select(
+    return raw.select("id", ids.alias("x")).select(
         "id", F.size("x").cast("bigint").alias("n"), digest("x").alias("ids")
     )
 
@@ -177,12 +177,8 @@ def global_batch_size(spark, sf_dir):
     return widen(prepare.global_batch(_tokenized(spark, sf_dir), 2, 4, 8, BLOCK))
 
 
-def _documents(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-
-
 def build_vocab(spark, sf_dir):
-    return vocab.build_vocab(_documents(spark, sf_dir), max_vocab=20000)
+    return vocab.build_vocab(views.documents(spark, sf_dir), max_vocab=20000)
 
 
 VOCAB_SQL = f"""{sql_tokens('tok', 'documents', 'doc_id', 'text')},
@@ -194,18 +190,18 @@ vocab AS (
 
 
 def encode_with_vocab(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = views.documents(spark, sf_dir)
     coded = vocab.vocab_encode(docs, "text", build_vocab(spark, sf_dir), max_vocab=20000)
     return coded.select("id", F.size("input_ids").cast("bigint").alias("n"), digest("input_ids").alias("ids"))
 
 
 def hash_encode(spark, sf_dir):
-    coded = _documents(spark, sf_dir).select("id", F.explode(F.array(HashEncoder().encode(F.col("text")))).alias("x"))
+    coded = views.documents(spark, sf_dir).select("id", HashEncoder().encode(F.col("text")).alias("x"))
     return coded.select("id", F.size("x").cast("bigint").alias("n"), digest("x").alias("ids"))
 
 
 def decode_tokens(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = views.documents(spark, sf_dir)
     words = vocab.build_vocab(docs, max_vocab=20000)
     coded = vocab.vocab_encode(docs, "text", words, max_vocab=20000)
     ended = coded.withColumn("input_ids", F.concat("input_ids", F.array(F.when(F.col("id") % 2 == 0, 126081).otherwise(126348).cast("bigint"))))
@@ -220,7 +216,7 @@ def map_batches(spark, sf_dir):
         kept = batch[batch["text"].str.len() >= least]
         return kept.assign(n=kept["text"].str.len().astype("int64"))[["id", "n"]]
 
-    return hooks.map_batches(_documents(spark, sf_dir), shorten, "id bigint, n bigint", least=500)
+    return hooks.map_batches(views.documents(spark, sf_dir), shorten, "id bigint, n bigint", least=500)
 
 
 QUERIES = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenloom.constants import IGNORE_LABEL
 from tokenloom.functions.text import HashEncoder, clean
+from tokenloom.sources.workspace import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,16 @@ def instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(texts, "id")
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: first line, no input, the rest."""
     first = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"),
+    return documents(spark, sf_dir).select(
+        "id",
         first.alias("instruction"),
         F.lit(None).cast("string").alias("input"),
         F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 2)").alias("output"),
@@ -49,9 +55,7 @@ def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when(F.col("id") % 97 == 0, F.lit(126348)).otherwise(F.lit(126081)).cast("bigint")
     ids = F.concat(encoder.encode(F.concat(clean("instruction"), clean("output"))), F.array(end))
     prompt = encoder.count(clean("instruction"))
-    encoded = document_records(spark, sf_dir).select(
-        "id", F.explode(F.array(ids)).alias("ids"), prompt.alias("asked")
-    )
+    encoded = document_records(spark, sf_dir).select("id", ids.alias("ids"), prompt.alias("asked"))
     return encoded.select(
         "id",
         F.when(F.col("id") % 61 == 0, F.lit(None))
