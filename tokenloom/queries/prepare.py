@@ -29,7 +29,7 @@ def scan_jsonl_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "flat")
     raw = views.instruction_records(spark, sf_dir)
     raw.write.json(folder)
-    raw.limit(1).write.json(f"{folder}/below")
+    raw.write.json(f"{folder}/below")
     return records.read_records(spark, folder, ID_SCHEMA, recursive=False, glob="*.json")
 
 

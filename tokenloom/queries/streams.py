@@ -15,15 +15,17 @@ from tokenloom.sources.records import stream_records
 from tokenloom.sources.workspace import new_folder
 from tokenloom.streaming import packing as stream_packing
 
-FILES = 6
+WAVES = 4
+FILES = 4
 SHARDS = 3
 SCHEMA = "arrival bigint, shard int, id bigint, input_ids array<bigint>, prompt_length int"
 
 
 def stream_folder(spark, sf_dir) -> str:
-    """Token records in shuffled order as JSON lines: file k holds the k-th range of arrivals.
+    """Token records in shuffled order as JSON lines: wave k holds the k-th range of arrivals.
 
-    Each file is written by one job of its own, so that the source meets them in arrival order.
+    Each wave is a job of its own that writes `FILES` files, so the source, which goes by file time and
+    takes `FILES` files per trigger, meets the waves in arrival order.
     """
     folder = new_folder(spark, "stream")
     rows = order.assign_shards(order.order_epochs(views.tokenized(spark, sf_dir), SEED), SHARDS)
@@ -34,16 +36,17 @@ def stream_folder(spark, sf_dir) -> str:
     rows.write.parquet(staged)
     arrived = spark.read.parquet(staged)
     last = arrived.agg(F.max("arrival")).scalar()
-    ranged = arrived.withColumn("part", F.floor(F.col("arrival") * FILES / (last + 1)))
-    for part in range(FILES):
-        ranged.where(F.col("part") == part).drop("part").write.json(f"{folder}/{part}")
+    ranged = arrived.withColumn("part", F.floor(F.col("arrival") * WAVES / (last + 1)))
+    for wave in range(WAVES):
+        files = ranged.where(F.col("part") == wave).drop("part").repartition(FILES, "arrival")
+        files.write.json(f"{folder}/{wave}")
     return folder
 
 
-def _packed_sink(spark, sf_dir, files_per_trigger=1) -> str:
+def _packed_sink(spark, sf_dir) -> str:
     source = stream_folder(spark, sf_dir)
     sink = new_folder(spark, "packed")
-    stream = stream_records(spark, source, SCHEMA, files_per_trigger, glob="*.json")
+    stream = stream_records(spark, source, SCHEMA, FILES, glob="*.json")
     query = stream_packing.pack_stream(stream, sink, new_folder(spark, "offsets"), BLOCK, BATCH)
     query.awaitTermination()
     return sink
@@ -85,13 +88,13 @@ def stream_noise(spark, sf_dir):
 
 
 def stream_backpressure(spark, sf_dir):
-    """Rows each micro-batch took in when a trigger may take one file."""
+    """Rows each micro-batch took in when a trigger may take the files of one wave."""
     source, sink = stream_folder(spark, sf_dir), new_folder(spark, "taken")
 
     def keep(rows, number):
         rows.select("arrival").withColumn("micro", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/m={number}")
 
-    stream = stream_records(spark, source, SCHEMA, 1, glob="*.json")
+    stream = stream_records(spark, source, SCHEMA, FILES, glob="*.json")
     (
         stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", new_folder(spark, "offsets"))
@@ -109,7 +112,7 @@ def stream_stop(spark, sf_dir):
     """A stopped stream resumes after what it has taken: a second run adds nothing."""
     source, sink, offsets = stream_folder(spark, sf_dir), new_folder(spark, "stopped"), new_folder(spark, "offsets")
     for _ in range(2):
-        query = run_stream(stream_records(spark, source, SCHEMA, 2, glob="*.json"), sink, offsets)
+        query = run_stream(stream_records(spark, source, SCHEMA, 2 * FILES, glob="*.json"), sink, offsets)
         query.awaitTermination()
         query.stop()
     return spark.read.schema(SCHEMA).parquet(sink).select("arrival", "id")
@@ -118,7 +121,7 @@ def stream_stop(spark, sf_dir):
 def stream_counters(spark, sf_dir):
     """Record and token counters observed by the stream itself."""
     source = stream_folder(spark, sf_dir)
-    stream = record_defaults(stream_records(spark, source, SCHEMA, 1, glob="*.json")).observe(
+    stream = record_defaults(stream_records(spark, source, SCHEMA, FILES, glob="*.json")).observe(
         "counters", F.count(F.lit(1)).alias("records"), F.sum(F.size("input_ids")).alias("tokens")
     )
     query = run_stream(stream, new_folder(spark, "counted"), new_folder(spark, "offsets"))
@@ -157,7 +160,7 @@ QUERIES = {
         stream_backpressure,
         select(
             ARRIVED,
-            f"SELECT count(*) AS n, min(arrival) AS first, max(arrival) AS last FROM arrived GROUP BY arrival * {FILES} // total",
+            f"SELECT count(*) AS n, min(arrival) AS first, max(arrival) AS last FROM arrived GROUP BY arrival * {WAVES} // total",
         ),
     ),
     "stream_stop": (stream_stop, select(ARRIVED, "SELECT arrival, id FROM arrived")),

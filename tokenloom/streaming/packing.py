@@ -73,9 +73,9 @@ def _pack_batch(rows: DataFrame, number: int, sink: str, span: int) -> None:
             .groupBy("shard")
             .agg(F.sum("examples").alias("examples"), F.sum("tokens").alias("tokens"))
         )
-        # The counters hold one row per shard.
+        # One row per shard, read from files of known size: Spark broadcasts it while it is small.
         offsets = (
-            offsets.join(F.broadcast(before), "shard", "left")
+            offsets.join(before, "shard", "left")
             .withColumns(
                 {
                     "ordinal": F.col("ordinal") + F.coalesce("examples", F.lit(0)),
