@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tokenloom.operators import metrics, order, packing
+from tokenloom.operators.prefix import number_rows
 
 L, B = 16, 3
 SCHEMA = "id bigint, input_ids array<bigint>, prompt_length int"
@@ -164,3 +166,23 @@ def test_number_batches(spark):
     assert [r.batch_id for r in rows] == [i // 10 for i in range(len(rows))]
     whole = order.number_batches(items, 10, keep_short=False).count()
     assert whole == len(rows) // 10 * 10
+
+
+def test_number_batches_of_sparse_ids(spark):
+    """Ids over the whole range of whole numbers, also negative ones."""
+    ids = sorted({(i * 7919 * 2**44 + i) % 2**63 - 2**62 for i in range(500)} | set(range(-50, 50)))
+    items = spark.createDataFrame([(i,) for i in ids], "item_id bigint").repartition(7)
+    for width in (4, 65536):
+        rows = order.number_batches(items, 10, rows_per_bucket=width).orderBy("item_id").collect()
+        assert [r.item_id for r in rows] == ids
+        assert [r.batch_id for r in rows] == [i // 10 for i in range(len(ids))]
+
+
+def test_levels_of_buckets(spark):
+    """More levels give the same totals."""
+    rows = spark.range(3000).select(F.col("id") * 3, (F.col("id") % 2).alias("g")).toDF("id", "g")
+    keyed = rows.withColumn("bucket", F.expr("id div 8"))
+    want = number_rows(keyed, ["g"], ["bucket"], ["id"]).orderBy("id").collect()
+    for coarser in ([16], [4, 8], [2, 2, 2]):
+        assert number_rows(keyed, ["g"], ["bucket"], ["id"], coarser=coarser).orderBy("id").collect() == want
+    assert [r.ordinal for r in want] == [1 + i // 2 for i in range(3000)]

@@ -75,10 +75,11 @@ def number_batches(
 ) -> DataFrame:
     """Group consecutive rows into `batch_id`s of `batch_size`; a short last batch is optional.
 
-    `order` is a unique whole-number column; its value ranges form the buckets of the numbering.
+    `order` is a unique whole-number column; its value ranges form the buckets of the numbering, and
+    ranges of these a second level, so that sparse ids do no harm.
     """
     keyed = df.withColumn("order_bucket", F.expr(f"`{order}` div {rows_per_bucket}"))
-    numbered = number_rows(keyed, [], ["order_bucket"], [order]).drop("order_bucket")
+    numbered = number_rows(keyed, [], ["order_bucket"], [order], coarser=[1 << 24]).drop("order_bucket")
     batched = numbered.withColumn("batch_id", F.expr(f"(ordinal - 1) div {batch_size}"))
     if keep_short:
         return batched

@@ -1,4 +1,4 @@
-"""Two-level running totals: exact global prefix sums without a single-task window.
+"""Running totals in levels: exact global prefix sums without a single-task window.
 
 Rows are split into buckets that follow the row order. One aggregate (combined before its
 shuffle) totals every bucket, a window over the few bucket rows gives each bucket its start,
@@ -15,15 +15,31 @@ from tokenloom.constants import BROADCAST_ROWS
 
 
 def bucket_starts(
-    df: DataFrame, group: Sequence[str], bucket: Sequence[str], totals: Mapping[str, Column]
+    df: DataFrame,
+    group: Sequence[str],
+    bucket: Sequence[str],
+    totals: Mapping[str, Column],
+    coarser: Sequence[int] = (),
 ) -> DataFrame:
-    """Per bucket and total: `<name>_before` (sum over earlier buckets) and `<name>_here`."""
+    """Per bucket and total: `<name>_before` (sum over earlier buckets) and `<name>_here`.
+
+    Each width in `coarser` joins that many neighbours of the (single, whole-number) bucket column into
+    one bucket of the next level. With none, one window per group runs over all of its buckets.
+    """
     sums = df.groupBy(*group, *bucket).agg(*[F.sum(c).alias(f"{n}_here") for n, c in totals.items()])
-    earlier = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+    if coarser:
+        name = f"_level{len(coarser)}"
+        level = sums.withColumn(name, F.expr(f"`{bucket[0]}` div {coarser[0]}"))
+        here = {f"{n}_through": F.col(f"{n}_here") for n in totals}
+        sums = running_totals(level, group, [name], bucket, here, coarser=coarser[1:])
+        before = {n: F.col(f"{n}_through") - F.col(f"{n}_here") for n in totals}
+    else:
+        earlier = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
+        before = {n: F.coalesce(F.sum(f"{n}_here").over(earlier), F.lit(0)) for n in totals}
     return sums.select(
         *group,
         *bucket,
-        *[F.coalesce(F.sum(f"{n}_here").over(earlier), F.lit(0)).alias(f"{n}_before") for n in totals],
+        *[c.alias(f"{n}_before") for n, c in before.items()],
         *[f"{n}_here" for n in totals],
     )
 
@@ -37,15 +53,16 @@ def running_totals(
     max_buckets: int | None = None,
     keep_bounds: bool = False,
     below: int | None = None,
+    coarser: Sequence[int] = (),
 ) -> DataFrame:
     """Add one inclusive running total per entry of `totals`.
 
     `bucket` must be monotone in `order`. The bucket table is broadcast by hint only when the
     caller proves a bound of `max_buckets` rows; otherwise it is joined on the bucket key,
     whose partitioning the window then shares. `below` leaves out buckets where every total has
-    reached that value before they start.
+    reached that value before they start. `coarser` adds levels for buckets that may be many.
     """
-    starts = bucket_starts(df, group, bucket, totals)
+    starts = bucket_starts(df, group, bucket, totals, coarser)
     if below is not None:
         starts = starts.where(F.least(*[F.col(f"{n}_before") for n in totals], F.lit(below)) < below)
     if max_buckets is not None and max_buckets <= BROADCAST_ROWS:
@@ -76,6 +93,7 @@ def number_rows(
     name: str = "ordinal",
     max_buckets: int | None = None,
     limit: int | None = None,
+    coarser: Sequence[int] = (),
 ) -> DataFrame:
     """Add a dense 1-based ordinal per group, exact over all partitions.
 
@@ -84,5 +102,5 @@ def number_rows(
     """
     one = {name: F.lit(1).cast("bigint")}
     if limit is None:
-        return running_totals(df, group, bucket, order, one, max_buckets)
+        return running_totals(df, group, bucket, order, one, max_buckets, coarser=coarser)
     return running_totals(df, group, bucket, order, one, max_buckets, below=limit).where(F.col(name) <= limit)

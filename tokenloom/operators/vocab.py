@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from tokenloom.constants import UNKNOWN_ID, VOCAB_SIZE
 from tokenloom.functions.text import tokens
@@ -38,43 +41,39 @@ def build_vocab(df: DataFrame, text: str = "text", max_vocab: int = VOCAB_SIZE)
     return ranked.select("token", "n", "token_id")
 
 
-def lookup_elements(
-    df: DataFrame,
-    key: str,
-    column: str,
-    elements: Callable[[Column], Column],
-    table: DataFrame,
-    source: str,
-    target: str,
-    default,
-    out: str,
-) -> DataFrame:
-    """`key, out`: every element that `elements` finds in `column`, replaced through a bounded table.
-
-    The rows are exchanged once as they are (by their unique key), and taken apart, looked up and
-    gathered inside their partition: the far larger set of single elements is never shuffled.
-    """
-    placed = df.select(key, column).repartition(key)
-    single = placed.select(key, F.posexplode_outer(elements(F.col(column))).alias("pos", source))
-    looked_up = single.join(F.broadcast(table.select(source, target)), source, "left")
-    found = F.struct("pos", F.coalesce(F.col(target), F.lit(default)).alias("value"))
-    gathered = looked_up.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), found))).alias("found")
-    )
-    return gathered.select(key, F.col("found.value").alias(out))
+def bounded(vocab: DataFrame, max_vocab: int) -> pa.Table:
+    """Fetch ids 1..max_vocab of a vocabulary: ids are unique, so at most `max_vocab` rows."""
+    return vocab.where(F.col("token_id").between(1, max_vocab)).select("token", "token_id").toArrow()
 
 
-def bounded(vocab: DataFrame, max_vocab: int) -> DataFrame:
-    """Keep ids 1..max_vocab: ids are unique, so at most `max_vocab` rows get broadcast."""
-    return vocab.where(F.col("token_id").between(1, max_vocab))
+def look_up(lists: pa.ListArray, known: pa.Array, value: pa.Array, default) -> pa.ListArray:
+    """Replace every list element by the value at its place in `known`, or by the default."""
+    place = pc.index_in(lists.flatten(), value_set=known)
+    found = pc.fill_null(value.take(place), pa.scalar(default, value.type))
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, found)
 
 
 def vocab_encode(
     df: DataFrame, text: str, vocab: DataFrame, key: str = "id", max_vocab: int = VOCAB_SIZE
 ) -> DataFrame:
-    """`id, input_ids`: tokens by vocabulary id, 0 for unknown ones."""
-    table = bounded(vocab, max_vocab)
-    return lookup_elements(df, key, text, tokens, table, "token", "token_id", UNKNOWN_ID, "input_ids")
+    """`id, input_ids`: tokens by vocabulary id, 0 for unknown ones.
+
+    The vocabulary is fetched once, like a fitted model, and goes out with the tasks: its size is
+    bounded by `max_vocab`. Rows are encoded where they are; neither texts nor tokens are exchanged.
+    """
+    words = bounded(vocab, max_vocab)
+    known = words["token"].combine_chunks().cast(pa.string())
+    ids = words["token_id"].combine_chunks().cast(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = look_up(batch.column("tokens"), known, ids, UNKNOWN_ID)
+            yield pa.RecordBatch.from_arrays([batch.column(key), coded], names=[key, "input_ids"])
+
+    split = df.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
+    return split.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, input_ids array<bigint>")
 
 
 def decode(
@@ -87,16 +86,22 @@ def decode(
     unknown: str = "<unk>",
     max_vocab: int = VOCAB_SIZE,
 ) -> DataFrame:
-    """`id, text`: ids back to text, tokens separated by single spaces."""
+    """`id, text`: ids back to text, tokens separated by single spaces; also without an exchange."""
     special = special or {}
-    table = bounded(vocab, max_vocab).select("token_id", "token")
-    hidden = list(special) if skip_special else []
-    if special and not skip_special:
-        names = F.inline(F.array(*[F.struct(F.lit(i).cast("bigint"), F.lit(t)) for i, t in special.items()]))
-        table = table.unionByName(df.sparkSession.range(1).select(names.alias("token_id", "token")))
+    words = bounded(vocab, max_vocab)
+    shown = {} if skip_special else special
+    known = pa.concat_arrays([words["token_id"].combine_chunks().cast(pa.int64()), pa.array(shown, pa.int64())])
+    names = pa.concat_arrays(
+        [words["token"].combine_chunks().cast(pa.string()), pa.array(shown.values(), pa.string())]
+    )
 
-    def shown(column: Column) -> Column:
-        return F.filter(column, lambda x: ~x.isin(*hidden)) if hidden else column
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pc.binary_join(look_up(batch.column("_ids"), known, names, unknown), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(key), text], names=[key, "text"])
 
-    words = lookup_elements(df, key, ids, shown, table, "token_id", "token", unknown, "words")
-    return words.select(key, F.array_join("words", " ").alias("text"))
+    column = F.col(ids).cast("array<bigint>")
+    if special and skip_special:
+        column = F.filter(column, lambda x: ~x.isin(*special))
+    rows = df.select(key, F.coalesce(column, F.array().cast("array<bigint>")).alias("_ids"))
+    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, text string")
