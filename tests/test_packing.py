@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import metrics, order, packing
 from tokenloom.operators.prefix import number_rows
+from tokenloom.sources.records import write_blocks
 
 L, B = 16, 3
 SCHEMA = "id bigint, input_ids array<bigint>, prompt_length int"
@@ -186,3 +187,19 @@ def test_levels_of_buckets(spark):
     for coarser in ([16], [4, 8], [2, 2, 2]):
         assert number_rows(keyed, ["g"], ["bucket"], ["id"], coarser=coarser).orderBy("id").collect() == want
     assert [r.ordinal for r in want] == [1 + i // 2 for i in range(3000)]
+
+
+def test_written_blocks(spark, tmp_path):
+    rows = examples(13, 300)
+    df = order.assign_shards(order.order_epochs(spark.createDataFrame(rows, SCHEMA), epochs=2), 2, 2)
+    blocks = packing.pack(df, L, B, streams=4)
+    want = sorted((r.epoch, r.shard, r.chunk_id, r.input_ids) for r in blocks.collect())
+    for rebalance in (False, True):
+        path = f"{tmp_path}/{rebalance}"
+        write_blocks(blocks, path, rebalance=rebalance)
+        back = spark.read.parquet(path)
+        assert sorted((r.epoch, r.shard, r.chunk_id, r.input_ids) for r in back.collect()) == want
+        one = spark.read.parquet(f"{path}/epoch=1/shard=0")
+        assert one.count() == sum(w[:2] == (1, 0) for w in want)
+    files = {str(f) for f in tmp_path.glob("True/epoch=*/shard=*/*.parquet")}
+    assert len(files) == 4

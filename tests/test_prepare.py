@@ -60,6 +60,13 @@ def test_tokenize_edges(spark):
     assert out[2].input_ids[:3] == [1 + zlib.crc32(w.encode()) % 120000 for w in "abc"]
 
 
+def test_tokenize_with_vocabulary(spark):
+    rows = spark.createDataFrame([(1, "a b", None, " a c"), (2, "a a a a a a", None, ""), (3, None, None, None)], RAW)
+    words = vocab.build_vocab(spark.createDataFrame([("a a b",)], "text string"))
+    out = {r.id: (r.input_ids, r.prompt_length) for r in prepare.tokenize_with_vocab(rows, words, 7).collect()}
+    assert out == {1: ([1, 2, 1, 0, 126081], 2), 3: ([126081], 0)}
+
+
 def test_tokenize_encodes_once(spark):
     rows = spark.createDataFrame([(1, "a b", None, "c")], RAW).repartition(2)
     plan = prepare.tokenize(rows)._jdf.queryExecution().optimizedPlan().toString()

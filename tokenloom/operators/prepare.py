@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from tokenloom.constants import END_OF_TEXT, END_OF_TEXT_ID, MAX_LENGTH
+from tokenloom.constants import END_OF_TEXT, END_OF_TEXT_ID, MAX_LENGTH, VOCAB_SIZE
 from tokenloom.functions.text import HashEncoder, clean
+from tokenloom.operators.vocab import vocab_encode
 
 
 def compose(df: DataFrame, end_text: str = END_OF_TEXT) -> DataFrame:
@@ -50,6 +51,29 @@ def tokenize(
     encoded = df.select(
         "id", prompt.alias("prompt"), encode_record(encoder, text, end_id, max_length).alias("encoded")
     )
+    return _finish(encoded, encoder, max_length, observation)
+
+
+def tokenize_with_vocab(
+    df: DataFrame,
+    vocab: DataFrame,
+    max_length: int = MAX_LENGTH,
+    end_id: int = END_OF_TEXT_ID,
+    max_vocab: int = VOCAB_SIZE,
+    observation: Observation | None = None,
+) -> DataFrame:
+    """The same records with the ids of a vocabulary (see `build_vocab`) instead of hashed ones."""
+    composed = compose(df, end_text="").select("id", "prompt", "text")
+    coded = vocab_encode(composed, "text", vocab, "encoded", max_vocab)
+    ended = F.concat("encoded", F.array(F.lit(end_id).cast("bigint")))
+    truncated = coded.withColumn("encoded", F.slice(ended, 1, max_length))
+    return _finish(truncated, HashEncoder(), max_length, observation)
+
+
+def _finish(
+    encoded: DataFrame, encoder: HashEncoder, max_length: int, observation: Observation | None
+) -> DataFrame:
+    """Drop overlong records, then count the tokens of the prompts that are left."""
     kept = encoded.select("id", "prompt", drop_overlong(F.col("encoded"), max_length).alias("input_ids"))
     out = kept.select(
         "id",

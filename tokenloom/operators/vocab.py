@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tokenloom.constants import UNKNOWN_ID, VOCAB_SIZE
 from tokenloom.functions.text import tokens
@@ -56,9 +56,9 @@ def look_up(lists: pa.ListArray, known: pa.Array, value: pa.Array, default) -> p
 
 
 def vocab_encode(
-    df: DataFrame, text: str, vocab: DataFrame, key: str = "id", max_vocab: int = VOCAB_SIZE
+    df: DataFrame, text: str, vocab: DataFrame, out: str = "input_ids", max_vocab: int = VOCAB_SIZE
 ) -> DataFrame:
-    """`id, input_ids`: tokens by vocabulary id, 0 for unknown ones.
+    """Replace `text` by `out`: its tokens by vocabulary id, 0 for unknown ones.
 
     The vocabulary is fetched once, like a fitted model, and goes out with the tasks: its size is
     bounded by `max_vocab`. Rows are encoded where they are; neither texts nor tokens are exchanged.
@@ -67,26 +67,28 @@ def vocab_encode(
     known = words["token"].combine_chunks().cast(pa.string())
     ids = words["token_id"].combine_chunks().cast(pa.int64())
 
+    kept = [c for c in df.columns if c != text]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = look_up(batch.column("tokens"), known, ids, UNKNOWN_ID)
-            yield pa.RecordBatch.from_arrays([batch.column(key), coded], names=[key, "input_ids"])
+            coded = look_up(batch.column("_tokens"), known, ids, UNKNOWN_ID)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], coded], names=[*kept, out])
 
-    split = df.select(key, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("tokens"))
-    return split.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, input_ids array<bigint>")
+    split = df.select(*kept, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_tokens"))
+    return split.mapInArrow(run, df.select(*kept).schema.add(out, T.ArrayType(T.LongType())))
 
 
 def decode(
     df: DataFrame,
     vocab: DataFrame,
     ids: str = "input_ids",
-    key: str = "id",
+    out: str = "text",
     special: dict[int, str] | None = None,
     skip_special: bool = False,
     unknown: str = "<unk>",
     max_vocab: int = VOCAB_SIZE,
 ) -> DataFrame:
-    """`id, text`: ids back to text, tokens separated by single spaces; also without an exchange."""
+    """Replace `ids` by `out`: text with tokens separated by single spaces; also without an exchange."""
     special = special or {}
     words = bounded(vocab, max_vocab)
     shown = {} if skip_special else special
@@ -95,13 +97,15 @@ def decode(
         [words["token"].combine_chunks().cast(pa.string()), pa.array(shown.values(), pa.string())]
     )
 
+    kept = [c for c in df.columns if c != ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = pc.binary_join(look_up(batch.column("_ids"), known, names, unknown), " ")
-            yield pa.RecordBatch.from_arrays([batch.column(key), text], names=[key, "text"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], text], names=[*kept, out])
 
     column = F.col(ids).cast("array<bigint>")
     if special and skip_special:
         column = F.filter(column, lambda x: ~x.isin(*special))
-    rows = df.select(key, F.coalesce(column, F.array().cast("array<bigint>")).alias("_ids"))
-    return rows.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, text string")
+    rows = df.select(*kept, F.coalesce(column, F.array().cast("array<bigint>")).alias("_ids"))
+    return rows.mapInArrow(run, df.select(*kept).schema.add(out, T.StringType()))

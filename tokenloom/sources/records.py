@@ -66,9 +66,18 @@ def write_tokenized(df: DataFrame, path: str, fmt: str = "json", mode: str = "er
     df.drop("token_count").write.mode(mode).format(fmt).save(path)
 
 
-def write_blocks(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Finished blocks, one folder per epoch and shard, so that each consumer reads only its own."""
-    df.write.mode(mode).partitionBy("epoch", "shard").parquet(path)
+def write_blocks(
+    df: DataFrame, path: str, mode: str = "errorifexists", rebalance: bool = False
+) -> None:
+    """Finished blocks, one folder per epoch and shard, so that each consumer reads only its own.
+
+    Each file is in block order. Packed blocks give about one file per key bucket. `rebalance` exchanges
+    them once more by folder, where Spark merges small and splits large partitions: for many folders with
+    little data each.
+    """
+    rows = df.hint("rebalance", "epoch", "shard") if rebalance else df
+    ordered = rows.sortWithinPartitions("epoch", "shard", "chunk_id")
+    ordered.write.mode(mode).partitionBy("epoch", "shard").parquet(path)
 
 
 def write_samples(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
