@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import shards, topk
+from tokenloom.llm import bpe, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,12 @@ def op7_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_query(table(spark, sf_dir, "embeddings"))
 
 
+def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op5_jump_shards": (op5_jump_shards, None),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),
+    "op8_bpe_automaton": (op8_bpe_automaton, None),
 }
