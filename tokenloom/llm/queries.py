@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, shards, topk
+from tokenloom.llm import bpe, packs, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packs.pack_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op3_tiered_packing": (op3_tiered_packing, None),
     "op5_jump_shards": (op5_jump_shards, None),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),
     "op8_bpe_automaton": (op8_bpe_automaton, None),
