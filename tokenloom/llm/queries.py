@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, packs, shards, topk
+from tokenloom.llm import bpe, digests, packs, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,14 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.digest_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_tiered_packing": (op3_tiered_packing, None),
     "op5_jump_shards": (op5_jump_shards, None),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),
     "op8_bpe_automaton": (op8_bpe_automaton, None),
+    "op9_quartile_digest": (op9_quartile_digest, None),
 }
