@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, digests, packs, shards, topk
+from tokenloom.llm import bpe, digests, licenses, packs, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_sentence_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_query(table(spark, sf_dir, "documents"))
+
+
 def op7_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_query(table(spark, sf_dir, "embeddings"))
 
@@ -36,6 +40,7 @@ def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_tiered_packing": (op3_tiered_packing, None),
     "op5_jump_shards": (op5_jump_shards, None),
+    "op6_sentence_licenses": (op6_sentence_licenses, licenses.SQL),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),
     "op8_bpe_automaton": (op8_bpe_automaton, None),
     "op9_quartile_digest": (op9_quartile_digest, None),
