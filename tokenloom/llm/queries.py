@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, digests, licenses, packs, shards, topk
+from tokenloom.llm import bpe, digests, licenses, packs, secrets, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.pack_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_query(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op3_tiered_packing": (op3_tiered_packing, None),
+    "op4_secret_ownership": (op4_secret_ownership, None),
     "op5_jump_shards": (op5_jump_shards, None),
     "op6_sentence_licenses": (op6_sentence_licenses, licenses.SQL),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),
