@@ -25,6 +25,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*stages: DataFrame) -> None:
+    """Remove stage tables whose readers are done."""
+    for df in stages:
+        spark = df.sparkSession
+        for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash the rows of a scan over all cores when it has fewer tasks than there are cores, as with one
     file of a single row group. A scan of many splits is left alone, so large tables never shuffle here.
