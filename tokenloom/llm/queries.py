@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, digests, licenses, packs, quality, secrets, shards, topk
+from tokenloom.llm import bpe, digests, licenses, neardup, packs, quality, secrets, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_query(table(spark, sf_dir, "documents"))
+
+
 def op3_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.pack_digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ordinal_quality": (op1_ordinal_quality, None),
+    "op2_weighted_minhash": (op2_weighted_minhash, None),
     "op3_tiered_packing": (op3_tiered_packing, None),
     "op4_secret_ownership": (op4_secret_ownership, None),
     "op5_jump_shards": (op5_jump_shards, None),
