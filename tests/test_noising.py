@@ -135,3 +135,11 @@ def test_stats(spark):
     for r in noised.collect():
         assert stats[r.chunk_id].masked_tokens == sum(x == MASK_ID for x in r.input_ids)
         assert stats[r.chunk_id].supervised_tokens == sum(x != -100 for x in r.labels)
+
+
+def test_missing_blocks_pass(spark):
+    rows = [(0, 0, 0, None, None), (0, 0, 1, [1, 2], [1, 2]), (0, 0, 2, [3, 126081], None)]
+    blocks = spark.createDataFrame(rows, "epoch int, shard int, chunk_id bigint, input_ids array<bigint>, labels array<bigint>")
+    got = {r.chunk_id: r for r in noising.noise(blocks).collect()}
+    assert got[0].input_ids == [] and len(got[1].input_ids) == 2
+    assert got[2].input_ids == [3, 126081] and got[2].labels == [-100, -100]

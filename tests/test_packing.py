@@ -111,12 +111,22 @@ def test_layout_independent(spark, partitions, tasks):
     assert got == [(0, 0, c, k, t, l) for c, k, t, l in sequential(rows)[0]]
 
 
-def test_shuffle_join_of_bucket_table(spark, monkeypatch):
-    """Beyond the broadcast bound the bucket table is joined by its key, with equal results."""
-    monkeypatch.setattr("tokenloom.operators.prefix.BROADCAST_ROWS", 1)
+def test_shuffle_join_of_bucket_table(spark):
+    """A bucket table that Spark does not broadcast is joined by its key, with equal results."""
     rows = examples(7, 150)
     df = order.assign_shards(order.order_epochs(spark.createDataFrame(rows, SCHEMA)), 1)
-    assert packed(df) == [(0, 0, c, k, t, l) for c, k, t, l in sequential(rows)[0]]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert packed(df) == [(0, 0, c, k, t, l) for c, k, t, l in sequential(rows)[0]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_batches_keep_rows_without_a_key(spark):
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "item_id bigint")
+    got = {(r.item_id, r.ordinal, r.batch_id) for r in order.number_batches(rows, 2).collect()}
+    assert got == {(None, 1, 0), (1, 2, 0), (2, 3, 1)}
 
 
 def test_counts_and_progress(spark):

@@ -164,3 +164,81 @@ def test_map_batches_drops_rows(spark):
     df = spark.range(20)
     out = hooks.map_batches(df, lambda b, least: b[b.id >= least], "id bigint", least=15)
     assert out.count() == 5
+
+
+def test_vocabulary_is_never_cut(spark):
+    docs = spark.createDataFrame([(1, "a a b c")], "id bigint, text string")
+    words = vocab.build_vocab(docs)
+    with pytest.raises(ValueError, match="max_vocab"):
+        vocab.vocab_encode(docs, "text", words, max_vocab=2)
+    with pytest.raises(ValueError, match="max_vocab"):
+        vocab.decode(docs.selectExpr("id", "array(1L) AS input_ids"), words, max_vocab=2)
+    known = spark.createDataFrame([("a", 1)], "token string, token_id bigint")
+    assert vocab.vocab_encode(docs, "text", known).first().input_ids == [1, 1, 0, 0]
+
+
+def test_ranking_needs_no_single_task_over_tokens(spark):
+    """Only the counts per level meet in one task; tokens and their beginnings are numbered by key."""
+    words = " ".join(chr(97 + i % 26) + chr(97 + i // 26) + "x" * (i % 3) for i in range(600))
+    docs = spark.createDataFrame([(words + " a b é 中",)], "text string")
+    got = [(r.n, r.token) for r in vocab.build_vocab(docs).orderBy("token_id").collect()]
+    assert got == sorted(got, key=lambda x: (-x[0], x[1].encode())) and len(got) == len(set(words.split())) + 4
+
+
+def test_single_file_of_any_name(spark, tmp_path):
+    line = '{"instruction": "a", "output": "b"}\n'
+    (tmp_path / "data.ndjson").write_text(line * 3)
+    assert records.read_records(spark, str(tmp_path / "data.ndjson")).count() == 3
+    folder = tmp_path / "x.json"
+    folder.mkdir()
+    (folder / "1.jsonl").write_text(line)
+    (folder / "2.txt").write_text("no record\n")
+    assert records.read_records(spark, str(folder)).count() == 1
+
+
+def test_broken_lines_are_errors(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"instruction": "a"}\n{"instruction": \n')
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        records.read_records(spark, str(tmp_path)).collect()
+    assert records.read_records(spark, str(tmp_path), mode="DROPMALFORMED").count() == 1
+
+
+def test_record_ids_follow_content(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join('{"instruction": "q%d"}\n' % (i % 40) for i in range(400)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = []
+    try:
+        for size in ("64m", "1k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            seen.append(sorted((r.id, r.instruction) for r in records.read_records(spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] and len({i for i, _ in seen[0]}) == 400
+
+
+def test_training_with_other_tokenizers(spark):
+    import functools
+
+    from tokenloom.plans.training import training_blocks
+
+    raw = spark.createDataFrame([(i, "a b ", None, "c d e") for i in range(8)], "id bigint, instruction string, input string, output string")
+    words = spark.createDataFrame([(w, i + 1) for i, w in enumerate("abcde")], "token string, token_id bigint")
+    by_vocab = functools.partial(prepare.tokenize_with_vocab, vocab=words)
+    by_batch = functools.partial(prepare.tokenize_with, encode=lambda texts: [[ord(c) - 96 for c in t if c != " "] for t in texts])
+    for make in (lambda df, n: by_vocab(df, max_length=n), lambda df, n: by_batch(df, max_length=n)):
+        blocks = training_blocks(raw, 6, 1, tokenizer=make).orderBy("chunk_id").collect()
+        assert len(blocks) == 8
+        for r in blocks:
+            assert len(r.input_ids) == 6 and set(r.input_ids) <= {1, 2, 3, 4, 5, 126081, 126336}
+    got = by_batch(raw).first()
+    assert got.input_ids == [1, 2, 3, 4, 5, 126081] and got.prompt_length == 2
+
+
+def test_stage_folder_on_a_cluster_must_be_named():
+    from types import SimpleNamespace
+
+    from tokenloom.sources.workspace import new_folder
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        new_folder(session, "x")

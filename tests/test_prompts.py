@@ -91,3 +91,12 @@ def test_run_matrix(spark):
     assert len(runs) == 16 and sum(r.items for r in runs) == 40
     assert {(r.task, r.num_fewshot) for r in runs} == {(t[0], t[1]) for t in requests.TASKS}
     assert not any(r.apply_chat_template for r in runs if r.task.startswith("gpqa"))
+
+
+def test_nothing_vanishes_without_role_or_task(spark):
+    chat = spark.createDataFrame([(1, 0, None, "hello"), (1, 1, "system", "x")], "conv_id bigint, turn bigint, role string, text string")
+    assert "hello" in prompts.render_chat(chat).first().prompt
+    assert prompts.drop_role(chat).count() == 1
+    items = spark.createDataFrame([("gsm8k", 1), ("arc", 2), ("arc", 3)], "task string, item_id bigint")
+    got = [(r.task, r.items, r.num_fewshot) for r in requests.run_matrix(items, templates=(True,)).collect()]
+    assert sorted(got, key=str) == [("arc", 2, None), ("gsm8k", 1, 4)]

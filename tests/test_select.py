@@ -157,3 +157,28 @@ def test_run_reports(spark):
     calls = metrics.tokens_per_call(runs).collect()[0]
     assert calls.rank_mean == ((5 + 10) / 2 + 2) / 2 and calls.weighted_mean == 5.0
     assert metrics.mean_work_length(runs).collect()[0].mean_length == 5.0
+
+
+def test_quota_per_group_and_scope(spark):
+    rows = [(g, p, 10 * g + p, 0.5 - p / 100, False, g, 3) for g in range(4) for p in range(20)]
+    scored = spark.createDataFrame(rows, "seq_id bigint, pos int, token bigint, conf double, filled boolean, quota bigint, before int")
+    got = sorted((r.seq_id, r.pos) for r in select.pick_high_or_topk(scored, 0.9, "quota").collect())
+    assert got == [(g, p) for g in range(4) for p in range(g)]
+    got = sorted((r.seq_id, r.pos) for r in select.pick_high_or_topk(scored, 0.9, "quota", previous="before").collect())
+    assert got == [(g, 3 + p) for g in range(4) for p in range(g)]
+    assert select.pick_high_or_topk(scored, 0.45, 1).count() == 4 * 6
+
+
+def test_confidence_of_odd_logits(spark):
+    rows = [(1, [0.0, float("inf"), 1.0]), (2, [0.0, float("nan"), 1.0]), (3, [2.0, 2.0])]
+    got = {r.seq_id: r.token for r in select.confidence(spark.createDataFrame(rows, "seq_id bigint, logits array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
+
+
+def test_stability_of_sparse_steps_and_wide_windows(spark):
+    rows = [(1, i * 10_000_000, 5) for i in range(300)]
+    trace = spark.createDataFrame(rows, "seq_id bigint, step bigint, frontier bigint")
+    got = select.stability(trace, window=2).collect()
+    assert len(got) == 300 and sum(r.stable for r in got) == 299
+    wide = select.stability(trace, window=100, steps_per_bucket=10).collect()
+    assert sum(r.stable for r in wide) == 201

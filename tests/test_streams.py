@@ -17,7 +17,7 @@ def write(spark, folder, rows, lo, hi):
 
 def start(spark, folder, sink, offsets):
     source = stream_records(spark, folder, SCHEMA, 1, glob="*.json")
-    query = stream.pack_stream(source, sink, offsets, L, B)
+    query = stream.pack_stream(source, sink, offsets, L, B, noise_seed=42)
     query.awaitTermination()
     return query
 
@@ -54,10 +54,10 @@ def test_stream_equals_loop_over_restarts(spark, tmp_path):
     got = sorted((r.shard, r.chunk_id, r.num_instruction, r.input_ids, r.labels) for r in blocks.collect())
     assert got == expected(rows)
     again = spark.read.schema(SCHEMA).option("recursiveFileLookup", True).json(f"{folder}/71")
-    stream._pack_batch(again, 3, sink, L * B)
+    stream._pack_batch(again, 3, sink, L, B, 42)
     repeated = stream.packed_blocks(spark, sink, L, B)
     assert sorted((r.shard, r.chunk_id, r.num_instruction, r.input_ids, r.labels) for r in repeated.collect()) == got
-    noised = stream.noised_blocks(spark, sink, L, B)
+    noised = stream.noised_blocks(spark, sink)
     assert noised.exceptAll(noising.noise(repeated).select(noised.columns)).count() == 0
 
 
@@ -88,3 +88,41 @@ def test_files_per_trigger(spark, tmp_path):
     query.awaitTermination()
     seen = [p.observedMetrics["seen"].n for p in query.recentProgress if "seen" in p.observedMetrics]
     assert [n for n in seen if n] == [20, 10]
+
+
+def test_counters_of_many_micro_batches(spark, tmp_path):
+    """More micro-batches than a query's progress list holds."""
+    from tokenloom.queries.streams import count_stream, counted
+
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "counted")
+    (tmp_path / "in").mkdir()
+    for i in range(104):
+        (tmp_path / "in" / f"{i}.json").write_text('{"arrival": %d, "input_ids": [1, 2]}\n' % i)
+    source = stream_records(spark, folder, SCHEMA, 1, glob="*.json")
+    count_stream(source, sink, str(tmp_path / "offsets")).awaitTermination()
+    assert spark.read.parquet(sink).count() == 104
+    assert tuple(counted(spark, sink).first()) == (104, 208)
+
+
+def test_input_is_read_once_per_micro_batch(spark, tmp_path):
+    """A timed trigger, stopped after its first micro-batch; the copy of the micro-batch is removed."""
+    import time
+
+    rows = examples(13, 30)
+    folder, sink, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
+    write(spark, folder, rows, 0, 30)
+    reads = spark.sparkContext.accumulator(0)
+    source = stream_records(spark, folder, SCHEMA, 1, glob="*.json")
+
+    def mark(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    query = stream.pack_stream(source.mapInArrow(mark, source.schema), sink, offsets, L, B, trigger={"processingTime": "1 hour"})
+    while query.isActive and not query.recentProgress:
+        time.sleep(0.1)
+    query.stop()
+    assert reads.value == 30
+    blocks = stream.packed_blocks(spark, sink, L, B)
+    assert sorted((r.shard, r.chunk_id, r.num_instruction, r.input_ids, r.labels) for r in blocks.collect()) == expected(rows)

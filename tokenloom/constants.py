@@ -15,6 +15,3 @@ UNKNOWN_ID = 0
 PAD_ID = 0
 STOP_TEXT = "<|eot_id|>"
 END_OF_TEXT = "<|endoftext|>"
-
-# A table is broadcast by hint only when its row count is bounded by this number.
-BROADCAST_ROWS = 1 << 20

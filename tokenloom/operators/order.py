@@ -42,9 +42,7 @@ def number_shuffled(df: DataFrame, epochs: int = 1) -> DataFrame:
     """Add the 1-based `ordinal` of every row in its epoch's shuffled order."""
     digits = key_digits(df, epochs)
     keyed = df.withColumn("key_bucket", key_bucket("order_key", digits))
-    numbered = number_rows(
-        keyed, ["epoch"], ["key_bucket"], ["order_key"], max_buckets=epochs * 16**digits
-    )
+    numbered = number_rows(keyed, ["epoch"], ["key_bucket"], ["order_key"])
     return numbered.drop("key_bucket")
 
 
@@ -76,9 +74,10 @@ def number_batches(
     """Group consecutive rows into `batch_id`s of `batch_size`; a short last batch is optional.
 
     `order` is a unique whole-number column; its value ranges form the buckets of the numbering, and
-    ranges of these a second level, so that sparse ids do no harm.
+    ranges of these a second level, so that sparse ids do no harm. Rows without a key come first.
     """
-    keyed = df.withColumn("order_bucket", F.expr(f"`{order}` div {rows_per_bucket}"))
+    ranges = F.coalesce(F.expr(f"`{order}` div {rows_per_bucket}"), F.lit(-(1 << 62)))
+    keyed = df.withColumn("order_bucket", ranges)
     numbered = number_rows(keyed, [], ["order_bucket"], [order], coarser=[1 << 24]).drop("order_bucket")
     batched = numbered.withColumn("batch_id", F.expr(f"(ordinal - 1) div {batch_size}"))
     if keep_short:

@@ -41,8 +41,8 @@ def with_token_count(df: DataFrame) -> DataFrame:
 def pack_offsets(df: DataFrame, streams: int = 1) -> DataFrame:
     """Add `ordinal`, `start` and `end` of every example in its stream, and its bucket's bounds.
 
-    `df` has `epoch, shard, order_key` (see `order_epochs`, `assign_shards`); `streams` bounds the
-    number of (epoch, shard) pairs.
+    `df` has `epoch, shard, order_key` (see `order_epochs`, `assign_shards`); `streams`, the
+    number of (epoch, shard) pairs, only sizes the buckets. Whether their table is broadcast is Spark's choice.
     """
     digits = key_digits(df, streams)
     keyed = with_token_count(df).withColumn("key_bucket", key_bucket("order_key", digits))
@@ -54,7 +54,6 @@ def pack_offsets(df: DataFrame, streams: int = 1) -> DataFrame:
         ["key_bucket"],
         ["order_key"],
         {"ordinal": F.lit(1).cast("bigint"), "end": F.col("n_tokens")},
-        max_buckets=streams * 16**digits,
         keep_bounds=True,
     )
     return summed.select(

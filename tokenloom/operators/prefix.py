@@ -11,8 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tokenloom.constants import BROADCAST_ROWS
-
 
 def bucket_starts(
     df: DataFrame,
@@ -50,23 +48,19 @@ def running_totals(
     bucket: Sequence[str],
     order: Sequence[str | Column],
     totals: Mapping[str, Column],
-    max_buckets: int | None = None,
     keep_bounds: bool = False,
     below: int | None = None,
     coarser: Sequence[int] = (),
 ) -> DataFrame:
     """Add one inclusive running total per entry of `totals`.
 
-    `bucket` must be monotone in `order`. The bucket table is broadcast by hint only when the
-    caller proves a bound of `max_buckets` rows; otherwise it is joined on the bucket key,
-    whose partitioning the window then shares. `below` leaves out buckets where every total has
+    `bucket` must be monotone in `order`. The bucket table is joined on the bucket key, whose partitioning the window
+    then shares; Spark broadcasts it when its measured size is small. `below` leaves out buckets where every total has
     reached that value before they start. `coarser` adds levels for buckets that may be many.
     """
     starts = bucket_starts(df, group, bucket, totals, coarser)
     if below is not None:
         starts = starts.where(F.least(*[F.col(f"{n}_before") for n in totals], F.lit(below)) < below)
-    if max_buckets is not None and max_buckets <= BROADCAST_ROWS:
-        starts = F.broadcast(starts)
     inside = (
         Window.partitionBy(*group, *bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
@@ -91,7 +85,6 @@ def number_rows(
     bucket: Sequence[str],
     order: Sequence[str | Column],
     name: str = "ordinal",
-    max_buckets: int | None = None,
     limit: int | None = None,
     coarser: Sequence[int] = (),
 ) -> DataFrame:
@@ -102,5 +95,5 @@ def number_rows(
     """
     one = {name: F.lit(1).cast("bigint")}
     if limit is None:
-        return running_totals(df, group, bucket, order, one, max_buckets, coarser=coarser)
-    return running_totals(df, group, bucket, order, one, max_buckets, below=limit).where(F.col(name) <= limit)
+        return running_totals(df, group, bucket, order, one, coarser=coarser)
+    return running_totals(df, group, bucket, order, one, below=limit).where(F.col(name) <= limit)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from tokenloom.constants import END_OF_TEXT, END_OF_TEXT_ID, MAX_LENGTH, VOCAB_SIZE
 from tokenloom.functions.text import HashEncoder, clean
@@ -51,7 +54,7 @@ def tokenize(
     encoded = df.select(
         "id", prompt.alias("prompt"), encode_record(encoder, text, end_id, max_length).alias("encoded")
     )
-    return _finish(encoded, encoder, max_length, observation)
+    return _finish(encoded, encoder.count(F.col("prompt")), max_length, observation)
 
 
 def tokenize_with_vocab(
@@ -67,18 +70,45 @@ def tokenize_with_vocab(
     coded = vocab_encode(composed, "text", vocab, "encoded", max_vocab)
     ended = F.concat("encoded", F.array(F.lit(end_id).cast("bigint")))
     truncated = coded.withColumn("encoded", F.slice(ended, 1, max_length))
-    return _finish(truncated, HashEncoder(), max_length, observation)
+    return _finish(truncated, HashEncoder().count(F.col("prompt")), max_length, observation)
+
+
+def tokenize_with(
+    df: DataFrame,
+    encode: Callable[[list[str]], list[list[int]]],
+    max_length: int = MAX_LENGTH,
+    end_id: int = END_OF_TEXT_ID,
+    observation: Observation | None = None,
+) -> DataFrame:
+    """The same records with the ids of a user's tokenizer, which also counts the prompts' tokens. `encode` takes
+    the texts of an Arrow batch and runs where the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [list(ids) for ids in encode(batch.column("text").to_pylist())]
+            asked = [len(ids) for ids in encode(batch.column("prompt").to_pylist())]
+            columns = [batch.column("id"), pa.array(whole, pa.list_(pa.int64())), pa.array(asked, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "encoded", "asked"])
+
+    composed = compose(df, end_text="").select("id", "prompt", "text")
+    schema = T.StructType(
+        [composed.schema["id"], T.StructField("encoded", T.ArrayType(T.LongType())), T.StructField("asked", T.IntegerType())]
+    )
+    coded = composed.mapInArrow(run, schema)
+    ended = F.slice(F.concat("encoded", F.array(F.lit(end_id).cast("bigint"))), 1, max_length)
+    return _finish(coded.withColumn("encoded", ended), F.col("asked"), max_length, observation)
 
 
 def _finish(
-    encoded: DataFrame, encoder: HashEncoder, max_length: int, observation: Observation | None
+    encoded: DataFrame, asked: Column, max_length: int, observation: Observation | None
 ) -> DataFrame:
     """Drop overlong records, then count the tokens of the prompts that are left."""
-    kept = encoded.select("id", "prompt", drop_overlong(F.col("encoded"), max_length).alias("input_ids"))
+    rest = [c for c in encoded.columns if c not in ("id", "encoded")]
+    kept = encoded.select("id", *rest, drop_overlong(F.col("encoded"), max_length).alias("input_ids"))
     out = kept.select(
         "id",
         "input_ids",
-        F.least(encoder.count(F.col("prompt")), F.lit(max_length)).alias("prompt_length"),
+        F.least(asked, F.lit(max_length)).alias("prompt_length"),
         F.size("input_ids").alias("token_count"),
     )
     if observation is not None:

@@ -26,8 +26,8 @@ class ChatTemplate:
 
 
 def drop_role(df: DataFrame, role: str = "system", drop: bool = True) -> DataFrame:
-    """Leave out one role's messages, for templates that refuse them."""
-    return df.where(F.col("role") != role) if drop else df
+    """Leave out one role's messages, for templates that refuse them; a message without a role stays."""
+    return df.where(~F.col("role").eqNullSafe(role)) if drop else df
 
 
 def render_chat(
@@ -39,10 +39,10 @@ def render_chat(
     """`conv_id, prompt`: the messages of each conversation in turn order as one text.
 
     With `add_generation_prompt` the answer header follows the last message; without it the last
-    message is left open, so that it can be continued.
+    message is left open, so that it can be continued. A missing role is an empty one.
     """
     message = F.concat(
-        F.lit(template.before_role), "role", F.lit(template.after_role), F.trim(F.coalesce("text", F.lit("")))
+        F.lit(template.before_role), F.coalesce("role", F.lit("")), F.lit(template.after_role), F.trim(F.coalesce("text", F.lit("")))
     )
     rendered = drop_role(df, drop=drop_system).select("conv_id", F.struct("turn", message.alias("m")).alias("s"))
     ordered = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
@@ -77,7 +77,7 @@ def few_shot(
     digits = key_digits(exemplars)
     keyed = exemplars.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), "exemplar_id")))
     keyed = keyed.withColumn("key_bucket", key_bucket("order_key", digits))
-    pool = number_rows(keyed, [], ["key_bucket"], ["order_key"], max_buckets=16**digits).select(
+    pool = number_rows(keyed, [], ["key_bucket"], ["order_key"]).select(
         (F.col("ordinal") - 1).alias("slot"), "exemplar_id", "example"
     )
     size = exemplars.agg(F.count(F.lit(1))).scalar()

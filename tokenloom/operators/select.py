@@ -13,17 +13,18 @@ from tokenloom.functions.draws import SCALE, final_word, hash32, position_words
 from tokenloom.operators.prefix import number_rows
 
 SALTS = 16
+RANGES = 4096
 
 
 def confidence(scores: DataFrame) -> DataFrame:
-    """Add `token` (zero-based argmax of `logits`, first on ties) and `conf` (its softmax share)."""
+    """Add `token` (zero-based argmax of `logits`, first on ties; NaN is the largest) and `conf` (its softmax share)."""
     topped = scores.withColumn("_top", F.array_max("logits"))
     shifted = topped.withColumn("_shifted", F.zip_with(
         "logits", F.array_repeat(F.col("_top"), F.size("logits")), lambda x, top: x - top
     ))
     return shifted.select(
         *scores.columns,
-        (F.array_position("_shifted", 0.0) - 1).alias("token"),
+        (F.array_position("logits", F.col("_top")) - 1).alias("token"),
         (F.lit(1.0) / F.aggregate("_shifted", F.lit(0.0), lambda a, x: a + F.exp(x))).alias("conf"),
     )
 
@@ -56,10 +57,22 @@ def pick_threshold(scored: DataFrame, tau: float = 0.9, edit: bool = False) -> D
     return picks
 
 
-def pick_high_or_topk(scored: DataFrame, tau: float = 0.9, k: int = 1) -> DataFrame:
-    """All open positions with confidence of at least `tau` when a group has several, else its top k."""
+def pick_high_or_topk(
+    scored: DataFrame, tau: float = 0.9, k: int | str = 1, previous: str | None = None
+) -> DataFrame:
+    """All open positions with confidence of at least `tau` when a group has several, else its top k.
+
+    `k` is a number or names a column constant per group (a quota of `even_quota`, say; null counts as 0).
+    With `previous`, a column constant per group, only positions from that length on are looked at. A small
+    number k limits ranks before the exchange; a large or varying one numbers rows in ranges of confidence, so no
+    group is ranked in one task.
+    """
     columns = ["seq_id", "pos", "token"]
-    still_open = scored.where(~F.col("filled")).select(*columns, "conf")
+    open_rows = scored.where(~F.col("filled"))
+    if previous:
+        open_rows = open_rows.where(F.col("pos") >= F.coalesce(F.col(previous), F.lit(0)))
+    quota = F.coalesce(F.col(k), F.lit(0)) if isinstance(k, str) else F.lit(k)
+    still_open = open_rows.select(*columns, "conf", quota.cast("bigint").alias("_k"))
     many = (
         still_open.groupBy("seq_id")
         .agg(F.count_if(F.col("conf") >= tau).alias("n_high"))
@@ -71,9 +84,17 @@ def pick_high_or_topk(scored: DataFrame, tau: float = 0.9, k: int = 1) -> DataFr
         .select("*", _salt())
         .join(_salted(many), ["seq_id", "_salt"], "left_semi")
     )
-    # A rank limit is applied in each map task before the shuffle, so at most k rows per group and task move.
-    rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("conf"), "pos"))
-    top = still_open.withColumn("_rank", rank).where(F.col("_rank") <= k).join(many, "seq_id", "left_anti")
+    limit = int(scored.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if not isinstance(k, str) and k <= limit:
+        # Spark applies such a rank limit in each map task, so at most k rows per group and task move.
+        rank = F.row_number().over(Window.partitionBy("seq_id").orderBy(F.desc("conf"), "pos"))
+        top = still_open.withColumn("_rank", rank).where(F.col("_rank") <= k).join(many, "seq_id", "left_anti")
+        return high.select(columns).unionByName(top.select(columns))
+    # Falling ranges of confidence; nothing is above 1, and NaN sorts above all numbers.
+    falling = F.when(F.isnan("conf"), -1).otherwise(F.floor((F.lit(1.0) - F.col("conf")) * RANGES))
+    rows = still_open.withColumn("_range", F.coalesce(falling, F.lit(RANGES + 1)).cast("bigint"))
+    ranked = number_rows(rows, ["seq_id"], ["_range"], [F.desc("conf"), "pos"], "_rank")
+    top = ranked.where(F.col("_rank") <= F.col("_k")).join(many, "seq_id", "left_anti")
     return high.select(columns).unionByName(top.select(columns))
 
 
@@ -115,12 +136,11 @@ def stability(
     Stable when the last `window` values exist and deviate (population) by less than `sigma`: the
     last value counts; otherwise the truncated mean of the values there are. `trace` has unique
     `seq_id, step` and `frontier`. Groups are cut into ranges of their row numbers that overlap by
-    `window - 1` rows, so that a range of one group is the most a task holds.
+    `window - 1` rows, so that a range of one group is the most a task holds; a wider window widens them.
     """
-    if window > steps_per_bucket:
-        raise ValueError("the window must fit into one bucket")
+    steps_per_bucket = max(steps_per_bucket, window)
     keyed = trace.withColumn("_steps", F.expr(f"step div {steps_per_bucket}"))
-    numbered = number_rows(keyed, ["seq_id"], ["_steps"], ["step"]).drop("_steps")
+    numbered = number_rows(keyed, ["seq_id"], ["_steps"], ["step"], coarser=[1 << 24]).drop("_steps")
     own = F.expr(f"(ordinal - 1) div {steps_per_bucket}")
     runs_over = F.expr(f"(ordinal - 1) % {steps_per_bucket}") >= steps_per_bucket - (window - 1)
     spread = numbered.withColumn("_own", own).withColumn(

@@ -17,15 +17,16 @@ from tokenloom.operators.prompts import add_bos, cut_at_stop, left_pad, left_tru
 def padded_batches(
     items: DataFrame,
     batch_size: int,
-    max_prompt: int,
+    max_prompt: int | None = None,
     bos: str = "",
     encoder: HashEncoder = HashEncoder(),
     pad_id: int = PAD_ID,
 ) -> DataFrame:
-    """Encode `item_id, context`, keep the last `max_prompt` ids and pad per batch."""
+    """Encode `item_id, context`, keep the last `max_prompt` ids (all, when not given) and pad per batch."""
     prompts = add_bos(items, bos, "context") if bos else items
     encoded = prompts.withColumn("input_ids", encoder.encode(F.col("context")))
-    return left_pad(number_batches(left_truncate(encoded, max_prompt), batch_size), pad_id)
+    kept = encoded if max_prompt is None else left_truncate(encoded, max_prompt)
+    return left_pad(number_batches(kept, batch_size), pad_id)
 
 
 def responses(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from tokenloom.constants import BATCH_SIZE, MAX_LENGTH, SEED
@@ -23,13 +25,18 @@ def training_blocks(
     seed: int = SEED,
     encoder: HashEncoder = HashEncoder(),
     staged: bool = True,
+    tokenizer: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Prepare, pack and noise.
 
+    `tokenizer` turns (raw records, length limit) into token records in place of hashing: a partial application of
+    `tokenize_with_vocab` or `tokenize_with`, for example.
+
     The tokenized records are written once as a stage table: the pass that totals buckets then reads
     two small columns, texts are encoded once, and a lost executor costs no re-encoding.
     """
-    records = with_token_count(tokenize(raw, encoder, record_length).drop("token_count"))
+    made = tokenizer(raw, record_length) if tokenizer else tokenize(raw, encoder, record_length)
+    records = with_token_count(made.drop("token_count"))
     if staged:
         records = stage(records, "tokenized")
     ordered = assign_shards(order_epochs(records, seed, epochs), world_size, epochs)

@@ -96,12 +96,10 @@ f2 AS (
 F3 = f"""
 {CRC}, {F2}, {sql_encode("f2_ids", "f2", "id", "body")},
 f3 AS (
-  SELECT f2.id,
-    CASE WHEN id % 61 = 0 THEN NULL WHEN id % 50 = 0 THEN []::BIGINT[] ELSE whole END AS input_ids,
-    CASE WHEN id % 59 = 0 THEN NULL WHEN id % 53 = 0 THEN len(whole) + 5
-      ELSE len(regexp_extract_all(instruction, '{PATTERN}')) END AS prompt_length
+  SELECT f2.id, whole AS input_ids, len(regexp_extract_all(instruction, '{PATTERN}')) AS prompt_length
   FROM f2 JOIN (
-    SELECT id, list_append(ids, CASE WHEN id % 97 = 0 THEN 126348 ELSE 126081 END) AS whole FROM f2_ids) USING (id)),
+    SELECT id, list_append(ids, CASE WHEN id % 97 = 0 THEN 126348 ELSE 126081 END) AS whole FROM f2_ids) USING (id)
+  UNION ALL VALUES (-1, []::BIGINT[], 0), (-2, NULL, 3), (-3, [11, 12, 126081], 8), (-4, [13, 14, 126348], NULL), (-5, NULL, NULL)),
 f3_clean AS (
   SELECT id, coalesce(input_ids, []::BIGINT[]) AS input_ids, coalesce(prompt_length, 0) AS prompt_length FROM f3)
 """

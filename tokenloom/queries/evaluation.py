@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators import metrics, prompts
 from tokenloom.operators.order import number_batches
+from tokenloom.operators.packing import record_defaults
 from tokenloom.plans import evaluation as plan
 from tokenloom.queries.common import CRC, F3, SEED, digest, select, sql_digest, sql_encode, widen
 from tokenloom.sources import requests, views
@@ -65,7 +66,7 @@ def few_shot_context(spark, sf_dir):
 
 def _padded(spark, sf_dir):
     items = views.answers(spark, sf_dir).withColumnRenamed("response", "context")
-    return plan.padded_batches(items, ROWS, PROMPT, BOS)
+    return plan.padded_batches(items, ROWS, bos=BOS)
 
 
 def fixed_batches(spark, sf_dir):
@@ -76,7 +77,7 @@ def fixed_batches(spark, sf_dir):
 
 
 def left_truncate(spark, sf_dir):
-    out = prompts.left_truncate(views.tokenized(spark, sf_dir).where("input_ids is not null"), PROMPT)
+    out = prompts.left_truncate(record_defaults(views.tokenized(spark, sf_dir)), PROMPT)
     return widen(out.select("id", F.size("input_ids").alias("n"), digest("input_ids").alias("ids")))
 
 
@@ -107,7 +108,7 @@ def cut_at_stop(spark, sf_dir):
 
 
 def cut_at_eos_ids(spark, sf_dir):
-    rows = views.tokenized(spark, sf_dir).where("input_ids is not null")
+    rows = record_defaults(views.tokenized(spark, sf_dir))
     out = prompts.cut_at_eos(rows, 64, 1024)
     return widen(
         out.select("id", "blocks_used", F.size("kept_ids").alias("n"), digest("kept_ids").alias("ids"), "content_length")
@@ -116,8 +117,7 @@ def cut_at_eos_ids(spark, sf_dir):
 
 def response_join(spark, sf_dir):
     items = views.eval_items(spark, sf_dir)
-    produced = views.answers(spark, sf_dir).where("item_id % 2 = 0")
-    return prompts.join_responses(items, produced)
+    return prompts.join_responses(items, views.numbered_answers(spark, sf_dir))
 
 
 def generate_hook(spark, sf_dir):
@@ -162,7 +162,7 @@ prompted AS (SELECT item_id, '{BOS}' || response AS context FROM answers),
 {sql_encode("enc", "prompted", "item_id", "context")},
 padded AS (
   SELECT item_id, batch_id, len(ids) AS n, max(len(ids)) OVER (PARTITION BY batch_id) AS width, ids FROM (
-    SELECT item_id, ids[-{PROMPT}:] AS ids, (row_number() OVER (ORDER BY item_id) - 1) // {ROWS} AS batch_id FROM enc)),
+    SELECT item_id, ids, (row_number() OVER (ORDER BY item_id) - 1) // {ROWS} AS batch_id FROM enc)),
 filled AS (
   SELECT item_id, batch_id, width,
     list_concat(list_transform(range(width - n), lambda i: 0::BIGINT), ids) AS ids,
@@ -254,7 +254,7 @@ FROM raw LEFT JOIN contexts ON item_id = id""",
         select(
             F3,
             f"SELECT id, least(len(input_ids), {PROMPT}) AS n, {sql_digest(f'input_ids[-{PROMPT}:]')} AS ids "
-            "FROM f3 WHERE input_ids IS NOT NULL",
+            "FROM f3_clean",
         ),
     ),
     "left_pad_batch": (
@@ -290,15 +290,15 @@ FROM (
     CASE WHEN hit IS NULL THEN least(len(input_ids), 1024) ELSE hit - 1 END AS content_length
   FROM (SELECT id, input_ids, list_min(list_filter(list_transform(input_ids[:1024],
       lambda x, i: CASE WHEN x IN (126081, 126348) THEN i END), lambda x: x IS NOT NULL)) AS hit
-    FROM f3 WHERE input_ids IS NOT NULL))""",
+    FROM f3_clean))""",
         ),
     ),
     "response_join": (
         response_join,
         select(
             ANSWERS,
-            "SELECT b.item_id, b.text AS context, a.response FROM benchmark b "
-            "LEFT JOIN (SELECT * FROM answers WHERE item_id % 2 = 0) a ON a.item_id = b.item_id",
+            "SELECT b.item_id, b.text AS context, a.response FROM benchmark b LEFT JOIN ("
+            "SELECT row_number() OVER (ORDER BY item_id) - 1 AS item_id, response FROM answers) a USING (item_id)",
         ),
     ),
     "generate_hook": (

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tokenloom.constants import MAX_LENGTH
 from tokenloom.functions.ids import labels_for, completion
-from tokenloom.functions.text import HashEncoder
+from tokenloom.functions.text import HashEncoder, clean
 from tokenloom.operators import hooks, prepare, settings, vocab
 from tokenloom.operators.packing import record_defaults
 from tokenloom.queries.common import (
-    BLOCK, CRC, F1, F1_TEXT, F3, PATTERN, digest, select, sql_digest, sql_encode, sql_tokens, widen,
+    BLOCK, CRC, F1, F1_TEXT, F3, PATTERN, VOCAB, digest, select, sql_digest, sql_encode, sql_tokens, widen,
 )
 from tokenloom.sources import records, views
-from tokenloom.sources.workspace import new_folder
+from tokenloom.sources.workspace import new_folder, stage
 
 ID_SCHEMA = T.StructType([T.StructField("id", T.LongType()), *records.RAW_SCHEMA.fields])
 RAW_SQL = select(F1, "SELECT id, instruction, input, output FROM f1")
@@ -35,7 +36,7 @@ def scan_jsonl_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sink_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokenized")
-    tokens = prepare.tokenize(views.instruction_records(spark, sf_dir), max_length=BLOCK)
+    tokens = _tokenized(spark, sf_dir)
     records.write_tokenized(tokens, f"{folder}/out/jsonl")
     schema = T.StructType([T.StructField("id", T.LongType()), *records.TOKENIZED_SCHEMA.fields])
     back = records.read_records(spark, folder, schema, glob="*.json")
@@ -43,21 +44,25 @@ def sink_tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.tokenize(views.instruction_records(spark, sf_dir), max_length=BLOCK)
+    return prepare.tokenize(views.instruction_records(spark, sf_dir), max_length=MAX_LENGTH)
 
 
 F1_ENC = f"{CRC}, {F1}, {F1_TEXT}, {sql_encode('enc', 'f1_text', 'id', 'body')}"
-F1_TOKENIZED = f"""{F1_ENC},
+def sql_tokenized(most: int) -> str:
+    return f"""{F1_ENC},
 tokenized AS (
-  SELECT id, whole AS input_ids, least(len(regexp_extract_all(prompt, '{PATTERN}')), {BLOCK}) AS prompt_length,
+  SELECT id, whole AS input_ids, least(len(regexp_extract_all(prompt, '{PATTERN}')), {most}) AS prompt_length,
     len(whole) AS token_count
-  FROM (SELECT id, list_append(ids, 126081)[1:{BLOCK}] AS whole FROM enc) JOIN f1_text USING (id)
-  WHERE len(whole) < {BLOCK})"""
+  FROM (SELECT id, list_append(ids, 126081)[1:{most}] AS whole FROM enc) JOIN f1_text USING (id)
+  WHERE len(whole) < {most})"""
+
+
+F1_TOKENIZED, F1_SHORT = sql_tokenized(MAX_LENGTH), sql_tokenized(BLOCK)
 
 
 def clean_fields(spark, sf_dir):
     raw = views.instruction_records(spark, sf_dir)
-    return raw.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("instruction", "input", "output")])
+    return raw.select("id", *[clean(c).alias(c) for c in ("instruction", "input", "output")])
 
 
 def compose_text(spark, sf_dir):
@@ -162,7 +167,7 @@ FROM events
 
 
 def drop_overlong(spark, sf_dir):
-    return _tokenized(spark, sf_dir).select("id")
+    return prepare.tokenize(views.instruction_records(spark, sf_dir), max_length=BLOCK).select("id")
 
 
 def total_tokens(spark, sf_dir):
@@ -174,11 +179,11 @@ def record_count(spark, sf_dir):
 
 
 def global_batch_size(spark, sf_dir):
-    return widen(prepare.global_batch(_tokenized(spark, sf_dir), 2, 4, 8, BLOCK))
+    return widen(prepare.global_batch(_tokenized(spark, sf_dir), 2, 4, 8, MAX_LENGTH))
 
 
 def build_vocab(spark, sf_dir):
-    return vocab.build_vocab(views.documents(spark, sf_dir), max_vocab=20000)
+    return vocab.build_vocab(views.documents(spark, sf_dir))
 
 
 VOCAB_SQL = f"""{sql_tokens('tok', 'documents', 'doc_id', 'text')},
@@ -186,12 +191,12 @@ vocab AS (
   SELECT token, n, token_id FROM (
     SELECT token, n, row_number() OVER (ORDER BY n DESC, token) AS token_id FROM (
       SELECT token, count(*) AS n FROM tok GROUP BY token))
-  WHERE token_id <= 20000)"""
+  WHERE token_id <= {VOCAB})"""
 
 
 def encode_with_vocab(spark, sf_dir):
     docs = views.documents(spark, sf_dir)
-    coded = vocab.vocab_encode(docs, "text", build_vocab(spark, sf_dir), max_vocab=20000)
+    coded = vocab.vocab_encode(docs, "text", stage(build_vocab(spark, sf_dir), "vocab"))
     return coded.select("id", F.size("input_ids").cast("bigint").alias("n"), digest("input_ids").alias("ids"))
 
 
@@ -202,11 +207,11 @@ def hash_encode(spark, sf_dir):
 
 def decode_tokens(spark, sf_dir):
     docs = views.documents(spark, sf_dir)
-    words = vocab.build_vocab(docs, max_vocab=20000)
-    coded = vocab.vocab_encode(docs, "text", words, max_vocab=20000)
+    words = stage(vocab.build_vocab(docs), "vocab")
+    coded = vocab.vocab_encode(docs, "text", words)
     ended = coded.withColumn("input_ids", F.concat("input_ids", F.array(F.when(F.col("id") % 2 == 0, 126081).otherwise(126348).cast("bigint"))))
     text = vocab.decode(
-        ended, words, special={126081: "<|endoftext|>", 126348: "<|eot_id|>"}, skip_special=False, max_vocab=20000
+        ended, words, special={126081: "<|endoftext|>", 126348: "<|eot_id|>"}, skip_special=False
     )
     return text.select("id", F.md5("text").alias("text_md5"))
 
@@ -276,7 +281,7 @@ QUERIES = {
         ),
     ),
     "flatten_json": (flatten_json, FLATTEN_SQL),
-    "drop_overlong": (drop_overlong, select(F1_TOKENIZED, "SELECT id FROM tokenized")),
+    "drop_overlong": (drop_overlong, select(F1_SHORT, "SELECT id FROM tokenized")),
     "total_tokens": (
         total_tokens,
         select(
@@ -290,8 +295,8 @@ QUERIES = {
         global_batch_size,
         select(
             F1_TOKENIZED,
-            f"SELECT 64::BIGINT AS global_batch_size, {64 * BLOCK}::BIGINT AS tokens_per_step, "
-            f"(sum(token_count) // {64 * BLOCK})::BIGINT AS steps_per_epoch, "
+            f"SELECT 64::BIGINT AS global_batch_size, {64 * MAX_LENGTH}::BIGINT AS tokens_per_step, "
+            f"(sum(token_count) // {64 * MAX_LENGTH})::BIGINT AS steps_per_epoch, "
             "sum(token_count)::BIGINT AS total_tokens FROM tokenized",
         ),
     ),

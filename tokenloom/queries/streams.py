@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tokenloom.operators import order
@@ -43,11 +45,11 @@ def stream_folder(spark, sf_dir) -> str:
     return folder
 
 
-def _packed_sink(spark, sf_dir) -> str:
+def _packed_sink(spark, sf_dir, noise_seed=None) -> str:
     source = stream_folder(spark, sf_dir)
     sink = new_folder(spark, "packed")
     stream = stream_records(spark, source, SCHEMA, FILES, glob="*.json")
-    query = stream_packing.pack_stream(stream, sink, new_folder(spark, "offsets"), BLOCK, BATCH)
+    query = stream_packing.pack_stream(stream, sink, new_folder(spark, "offsets"), BLOCK, BATCH, noise_seed)
     query.awaitTermination()
     return sink
 
@@ -81,7 +83,7 @@ def stream_pack(spark, sf_dir):
 
 
 def stream_noise(spark, sf_dir):
-    blocks = stream_packing.noised_blocks(spark, _packed_sink(spark, sf_dir), BLOCK, BATCH, SEED)
+    blocks = stream_packing.noised_blocks(spark, _packed_sink(spark, sf_dir, SEED))
     return widen(
         blocks.select("shard", "chunk_id", digest("input_ids").alias("ids"), digest("labels").alias("labels"))
     )
@@ -109,28 +111,49 @@ def stream_backpressure(spark, sf_dir):
 
 
 def stream_stop(spark, sf_dir):
-    """A stopped stream resumes after what it has taken: a second run adds nothing."""
+    """A stream that is stopped after its first micro-batch and resumed: every row once, and by which run.
+
+    The first run waits an hour after a micro-batch, so the stop always finds it between the first two.
+    """
     source, sink, offsets = stream_folder(spark, sf_dir), new_folder(spark, "stopped"), new_folder(spark, "offsets")
-    for _ in range(2):
-        query = run_stream(stream_records(spark, source, SCHEMA, 2 * FILES, glob="*.json"), sink, offsets)
-        query.awaitTermination()
-        query.stop()
-    return spark.read.schema(SCHEMA).parquet(sink).select("arrival", "id")
+
+    def run(before_stop, **trigger):
+        def keep(rows, number):
+            marked = rows.withColumn("before_stop", F.lit(before_stop))
+            marked.write.mode("overwrite").parquet(f"{sink}/micro={number}")
+
+        stream = stream_records(spark, source, SCHEMA, FILES, glob="*.json")
+        return stream.writeStream.foreachBatch(keep).option("checkpointLocation", offsets).trigger(**trigger).start()
+
+    first = run(True, processingTime="1 hour")
+    while first.isActive and not first.recentProgress:
+        time.sleep(0.1)
+    first.stop()
+    run(False, availableNow=True).awaitTermination()
+    return spark.read.schema(f"{SCHEMA}, before_stop boolean").parquet(sink).select("arrival", "id", "before_stop")
 
 
 def stream_counters(spark, sf_dir):
-    """Record and token counters observed by the stream itself."""
-    source = stream_folder(spark, sf_dir)
-    stream = record_defaults(stream_records(spark, source, SCHEMA, FILES, glob="*.json")).observe(
-        "counters", F.count(F.lit(1)).alias("records"), F.sum(F.size("input_ids")).alias("tokens")
-    )
-    query = run_stream(stream, new_folder(spark, "counted"), new_folder(spark, "offsets"))
-    query.awaitTermination()
-    seen = [p.observedMetrics["counters"] for p in query.recentProgress if "counters" in p.observedMetrics]
-    # One row per micro-batch, made of numbers the stream reported.
-    rows = [(int(r["records"]), int(r["tokens"] or 0)) for r in seen]
-    counts = spark.createDataFrame(rows, "records bigint, tokens bigint")
-    return counts.agg(F.sum("records").alias("records"), F.sum("tokens").alias("tokens"))
+    """Record and token counters that each micro-batch writes for itself; a repeated one writes the same."""
+    source, sink = stream_folder(spark, sf_dir), new_folder(spark, "counted")
+    stream = record_defaults(stream_records(spark, source, SCHEMA, FILES, glob="*.json"))
+    count_stream(stream, sink, new_folder(spark, "offsets")).awaitTermination()
+    return counted(spark, sink)
+
+
+def count_stream(stream, sink, checkpoint):
+    """Count records and tokens of every micro-batch into a table of its own."""
+
+    def count(rows, number):
+        sums = rows.agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("input_ids")).alias("tokens"))
+        sums.write.mode("overwrite").parquet(f"{sink}/micro={number}")
+
+    return stream.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted(spark, sink):
+    sums = spark.read.schema("records bigint, tokens bigint").parquet(sink)
+    return sums.agg(F.sum("records").alias("records"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
 
 ARRIVED = f"""{sql_batches(shard=HASH_SHARD.format(SHARDS))}, arrived AS (
@@ -163,7 +186,7 @@ QUERIES = {
             f"SELECT count(*) AS n, min(arrival) AS first, max(arrival) AS last FROM arrived GROUP BY arrival * {WAVES} // total",
         ),
     ),
-    "stream_stop": (stream_stop, select(ARRIVED, "SELECT arrival, id FROM arrived")),
+    "stream_stop": (stream_stop, select(ARRIVED, f"SELECT arrival, id, arrival * {WAVES} // total = 0 AS before_stop FROM arrived")),
     "stream_counters": (
         stream_counters,
         select(ARRIVED, "SELECT count(*) AS records, sum(n)::BIGINT AS tokens FROM arrived"),

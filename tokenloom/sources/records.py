@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tokenloom.operators.prefix import number_rows
+
 RAW_SCHEMA = T.StructType(
     [
         T.StructField("instruction", T.StringType()),
@@ -25,23 +27,42 @@ def read_records(
     schema: T.StructType = RAW_SCHEMA,
     recursive: bool = True,
     glob: str = "*.jsonl",
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """JSON-lines files below `path` as one table.
 
-    `recursive` takes every nested folder; otherwise only the files directly in `path` (or `path`
-    itself when it is a file) are read. The schema is given, so no inference pass runs; fields
-    missing from a record are null. Records have no key of their own: a schema without `id` gets
-    one numbered by file split and row, to be fixed by writing the tokenized table.
+    `recursive` takes every nested folder; otherwise only the files directly in `path` are read. A `path` that is
+    a file is read under any name; `glob` picks files in folders only. The schema is given, so no inference pass
+    runs; fields missing from a record are null. A broken line is an error unless `mode` says otherwise
+    ("DROPMALFORMED" leaves it out, "PERMISSIVE" makes it a record of nulls). A schema without `id` gets one by
+    `with_record_ids`.
     """
-    reader = spark.read.schema(schema)
+    reader = spark.read.schema(schema).option("mode", mode)
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
-    if not path.endswith((".jsonl", ".json")):
+    if not is_file(spark, path):
         reader = reader.option("pathGlobFilter", glob)
     table = reader.json(path)
-    if "id" in schema.fieldNames():
-        return table
-    return table.withColumn("id", F.monotonically_increasing_id())
+    return table if "id" in schema.fieldNames() else with_record_ids(table)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether the file system holds a file, not a folder or a pattern, at `path`."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isFile()
+
+
+def with_record_ids(table: DataFrame) -> DataFrame:
+    """Add `id`, a 64-bit hash of a record's content and of its number among equal records.
+
+    Ids follow from what the files hold, whatever their number, order and splits. Equal records are numbered in
+    two levels, first within each task's own, so many copies of one record do not meet in one task.
+    """
+    content = F.to_json(F.struct(*table.columns))
+    keyed = table.withColumns({"_content": F.xxhash64(content), "_again": F.xxhash64(F.lit("again"), content), "_part": F.spark_partition_id()})
+    numbered = number_rows(keyed, ["_content", "_again"], ["_part"], [F.lit(0)], "_copy")
+    return numbered.withColumn("id", F.xxhash64("_content", "_again", "_copy")).drop("_content", "_again", "_part", "_copy")
 
 
 def stream_records(

@@ -39,7 +39,8 @@ def run_matrix(
 ) -> DataFrame:
     """Runs per task and setting with the number of items each covers; `items` has a `task` column.
 
-    The settings ride along as a constant array per task, so no join is made.
+    The settings ride along as a constant array per task, so no join is made. Items of a task without settings
+    keep one row with null settings.
     """
     settings = F.create_map(
         *[
@@ -64,4 +65,4 @@ def run_matrix(
         ]
     )
     counted = items.groupBy("task").agg(F.count("*").alias("items"))
-    return counted.select("task", "items", F.inline(settings[F.col("task")]))
+    return counted.select("task", "items", F.inline_outer(settings[F.col("task")]))

@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tokenloom.constants import IGNORE_LABEL
 from tokenloom.functions.text import HashEncoder, clean
+from tokenloom.operators.order import number_batches
 from tokenloom.sources.workspace import spread
 
 
+# Token records at the edges of the format.
+EDGES = """
+SELECT id, CAST(input_ids AS array<bigint>) AS input_ids, CAST(prompt_length AS int) AS prompt_length FROM VALUES
+  (-1L, array(), 0), (-2L, NULL, 3), (-3L, array(11, 12, 126081), 8), (-4L, array(13, 14, 126348), NULL), (-5L, NULL, NULL)
+  AS t(id, input_ids, prompt_length)
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,25 +58,14 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as token records, with the edge cases of the format: empty and missing ids, prompt
-    lengths missing or beyond the end, both end-of-text ids."""
+    """Documents as token records with both end-of-text ids, and the edge cases of the format as rows of their own
+    (negative ids): empty and missing ids, prompt lengths missing or beyond the end."""
     encoder = HashEncoder()
     end = F.when(F.col("id") % 97 == 0, F.lit(126348)).otherwise(F.lit(126081)).cast("bigint")
     ids = F.concat(encoder.encode(F.concat(clean("instruction"), clean("output"))), F.array(end))
     prompt = encoder.count(clean("instruction"))
-    encoded = document_records(spark, sf_dir).select("id", ids.alias("ids"), prompt.alias("asked"))
-    return encoded.select(
-        "id",
-        F.when(F.col("id") % 61 == 0, F.lit(None))
-        .when(F.col("id") % 50 == 0, F.array().cast("array<bigint>"))
-        .otherwise(F.col("ids"))
-        .alias("input_ids"),
-        F.when(F.col("id") % 59 == 0, F.lit(None))
-        .when(F.col("id") % 53 == 0, F.size("ids") + 5)
-        .otherwise(F.col("asked"))
-        .cast("int")
-        .alias("prompt_length"),
-    )
+    encoded = document_records(spark, sf_dir).select("id", ids.alias("input_ids"), prompt.cast("int").alias("prompt_length"))
+    return encoded.unionByName(spark.sql(EDGES))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +101,12 @@ def eval_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("context"))
 
 
+def numbered_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses by row number from 0, so that every evaluation item has the one of its number."""
+    numbered = number_batches(answers(spark, sf_dir), 1)
+    return numbered.select(F.col("batch_id").alias("item_id"), "response")
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant texts as responses; a third start with a stop term, a third hold an end marker."""
     said = chat(spark, sf_dir).where("role = 'assistant'")

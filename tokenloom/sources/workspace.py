@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path not used before, below `spark.checkpoint.dir`; only where that is unset (as in tests)
-    a fresh temporary folder, which a single machine alone can read."""
+    """A path not used before, below `spark.checkpoint.dir`. Where that is unset, a local session (as in tests)
+    gets a fresh temporary folder; on a cluster, whose machines could not read it, this is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

@@ -12,17 +12,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tokenloom.constants import BATCH_SIZE, MAX_LENGTH, SEED
+from tokenloom.constants import BATCH_SIZE, MAX_LENGTH
 from tokenloom.operators.noising import noise
 from tokenloom.operators.packing import blocks_of, gather, pieces_of, record_defaults, with_token_count
 from tokenloom.operators.prefix import running_totals
+from tokenloom.sources.workspace import discard, stage
 
 SHARD = ["shard"]
-ARRIVALS_PER_BUCKET = 65536
+ARRIVALS_PER_BUCKET = 4096
 BATCHES = (
     "shard int, batch_id bigint, n_tokens bigint, done bigint, done_before bigint, "
     "parts array<struct<low: bigint, ids: array<bigint>, labels: array<bigint>>>"
 )
+NOISED = (
+    "shard int, batch_id bigint, chunk_id bigint, num_instruction bigint, input_ids array<bigint>, "
+    "labels array<bigint>, epoch int, t double"
+)
 COUNTERS = "shard int, examples bigint, tokens bigint"
 
 
@@ -51,11 +56,11 @@ def _carried_pieces(spark: SparkSession, sink: str, number: int) -> DataFrame:
     )
 
 
-def _pack_batch(rows: DataFrame, number: int, sink: str, span: int) -> None:
-    spark = rows.sparkSession
-    keyed = with_token_count(record_defaults(rows)).withColumn(
-        "arrival_bucket", F.expr(f"arrival div {ARRIVALS_PER_BUCKET}")
-    )
+def _pack_batch(rows: DataFrame, number: int, sink: str, max_length: int, batch_size: int, seed: int | None) -> None:
+    spark, span = rows.sparkSession, max_length * batch_size
+    # The input is parsed once; bucket totals and counters then read two narrow columns of the copy.
+    staged = stage(with_token_count(record_defaults(rows)), "micro")
+    keyed = staged.withColumn("arrival_bucket", F.expr(f"arrival div {ARRIVALS_PER_BUCKET}"))
     counters = keyed.groupBy("shard").agg(
         F.count(F.lit(1)).alias("examples"), F.sum("n_tokens").alias("tokens")
     )
@@ -89,7 +94,12 @@ def _pack_batch(rows: DataFrame, number: int, sink: str, span: int) -> None:
         pieces = pieces.unionByName(_carried_pieces(spark, sink, number - 1))
     batches = gather(pieces, SHARD).withColumn("complete", F.col("n_tokens") == span)
     batches.write.mode("overwrite").partitionBy("complete").parquet(_folder(sink, "batches", number))
+    if seed is not None:
+        done = spark.read.schema(f"{BATCHES}, complete boolean").parquet(_folder(sink, "batches", number)).where("complete")
+        blocks = blocks_of(done.drop("complete"), SHARD, max_length, batch_size).withColumn("epoch", F.lit(0))
+        noise(blocks, seed).write.mode("overwrite").parquet(_folder(sink, "noised", number))
     counters.write.mode("overwrite").parquet(_folder(sink, "counters", number))
+    discard(staged)
 
 
 def pack_stream(
@@ -98,16 +108,21 @@ def pack_stream(
     checkpoint: str,
     max_length: int = MAX_LENGTH,
     batch_size: int = BATCH_SIZE,
+    noise_seed: int | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start packing `arrival, shard, input_ids, prompt_length` into `sink`; take in all that is there.
+    """Start packing `arrival, shard, input_ids, prompt_length` into `sink`.
 
-    `arrival` is a unique whole number that orders the records; files must arrive in its order.
+    `arrival` is a unique whole number that orders the records; files must arrive in its order. With a
+    `noise_seed` every micro-batch also writes its complete blocks noised. `trigger` is that of the stream writer,
+    for example {"processingTime": "1 minute"}; by default the query takes in all that is there and ends.
     """
-    span = max_length * batch_size
     return (
-        stream.writeStream.foreachBatch(lambda rows, number: _pack_batch(rows, number, sink, span))
+        stream.writeStream.foreachBatch(
+            lambda rows, number: _pack_batch(rows, number, sink, max_length, batch_size, noise_seed)
+        )
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -119,14 +134,16 @@ def packed_blocks(
     batches = (
         spark.read.schema(f"{BATCHES}, micro int, complete boolean").parquet(f"{sink}/batches").where("complete")
     )
-    finished = spark.read.schema(f"{COUNTERS}, micro int").parquet(f"{sink}/counters").select("micro").distinct()
     return blocks_of(
-        batches.join(finished, "micro", "left_semi"), SHARD, max_length, batch_size
+        batches.join(_finished(spark, sink), "micro", "left_semi"), SHARD, max_length, batch_size
     ).withColumn("epoch", F.lit(0))
 
 
-def noised_blocks(
-    spark: SparkSession, sink: str, max_length: int = MAX_LENGTH, batch_size: int = BATCH_SIZE, seed: int = SEED
-) -> DataFrame:
-    """The same blocks, noised as they leave: stateless and keyed by hash."""
-    return noise(packed_blocks(spark, sink, max_length, batch_size), seed)
+def _finished(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.schema(f"{COUNTERS}, micro int").parquet(f"{sink}/counters").select("micro").distinct()
+
+
+def noised_blocks(spark: SparkSession, sink: str) -> DataFrame:
+    """The noised blocks that the finished micro-batches of a stream with a `noise_seed` have written."""
+    written = spark.read.schema(f"{NOISED}, micro int").parquet(f"{sink}/noised")
+    return written.join(_finished(spark, sink), "micro", "left_semi").drop("micro")
