@@ -14,6 +14,8 @@ from tokenloom.llm.batches import flat, ranges, slices
 
 TIERS = (2048, 1024, 512, 256)
 GROUP_BYTES, TEXT_SLICE, STEP = 1 << 21, 1 << 22, 8
+#: Letters-only pieces encoded as one text, and pieces kept by a task.
+JOINED, STORED = 512, 600_000
 END = 1
 
 
@@ -51,6 +53,50 @@ def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return cut.dictionary_encode(), np.searchsorted(places, offsets)
 
 
+class Pieces:
+    """Ids of distinct pieces, each worked out once while the store is not full.
+
+    Letters-only pieces are one word each, so many are encoded as one text and told apart by the ids that end a
+    word; other pieces are encoded on their own.
+    """
+
+    def __init__(self, coder, wide: type) -> None:
+        self.coder, self.wide = coder, wide
+        ends = [i for token, i in coder.get_vocab(True).items() if token.endswith("</w>")]
+        self.closes = np.zeros(coder.get_vocab_size(True) + 1, dtype=bool)
+        self.closes[ends] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = (np.zeros(0, t) for t in (self.wide, np.int64, np.int64))
+
+    def add(self, parts: list[str]) -> None:
+        plain = [p for p in parts if (w := p.strip(" \n")).isalpha() and "\u0130" not in w]
+        alone = [p for p in parts if not ((w := p.strip(" \n")).isalpha() and "\u0130" not in w)]
+        texts = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
+        found = [np.array(e.ids, dtype=self.wide) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+        joined = np.concatenate([np.zeros(0, self.wide), *found])
+        ends = np.flatnonzero(self.closes[joined]) + 1
+        if len(ends) != len(plain):
+            raise ValueError("a piece of letters is not one word of this tokenizer")
+        each = [e.ids for e in self.coder.encode_batch_fast(alone, add_special_tokens=False)]
+        sizes = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in each], dtype=np.int64)])
+        self.slot.update((p, len(self.sizes) + i) for i, p in enumerate([*plain, *alone]))
+        self.ids = np.concatenate([self.ids, joined, np.array([i for x in each for i in x], dtype=self.wide)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def slots(self, parts: list[str]) -> np.ndarray:
+        if len(self.slot) > STORED:
+            self.clear()
+        slot = self.slot
+        fresh = [p for p in parts if p not in slot]
+        if fresh:
+            self.add(fresh)
+        return np.fromiter(map(slot.__getitem__, parts), np.int64, len(parts))
+
+
 def tokenize_batches(spec, end: int):
     """Batches (..., text) to (..., ids binary of little-endian uint16 or uint32, n)."""
 
@@ -65,43 +111,33 @@ def tokenize_batches(spec, end: int):
         coder.no_truncation()
         special = [t.content for t in coder.get_added_tokens_decoder().values()]
         wide = np.uint16 if coder.get_vocab_size(True) <= 1 << 16 and end < 1 << 16 else np.uint32
-        known: dict[str, list[int]] = {}
-
-        def encode(parts: list[str]) -> list[list[int]]:
-            fresh = [p for p in parts if p not in known]
-            if len(known) > 400_000:
-                known.clear()
-                fresh = parts
-            done = dict(zip(fresh, (e.ids for e in coder.encode_batch(fresh, add_special_tokens=False)), strict=True))
-            known.update((p, ids) for p, ids in done.items() if len(p) < 64)
-            return [done[p] if p in done else known[p] for p in parts]
-
+        store = Pieces(coder, wide)
         for batch in batches:
             for part in slices(batch, "text", TEXT_SLICE):
                 texts = pc.fill_null(part.column("text"), "")
                 marked = np.zeros(len(texts), dtype=bool)
                 for mark in special:
                     marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+                # Texts with marks of special tokens are encoded whole; their ids and the closing id follow the store's.
                 whole = {i: coder.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(marked)}
                 index, places = pieces(pc.if_else(pa.array(~marked), texts, ""))
-                # Codes beyond the dictionary: texts with marks, encoded whole, and the closing id.
-                each = [*encode(index.dictionary.to_pylist()), *whole.values(), [end]]
-                first, codes = len(index.dictionary), index.indices.to_numpy().astype(np.int64)
-                closing = np.full(len(texts), len(each) - 1)
-                codes = np.insert(codes, places[1:], closing)
+                slots = store.slots(index.dictionary.to_pylist())[index.indices.to_numpy()]
+                more = [*whole.values(), [end]]
+                known = len(store.sizes)
+                sizes = np.concatenate([store.sizes, np.array([len(x) for x in more], dtype=np.int64)])
+                values = np.concatenate([store.ids, *[np.array(x, dtype=wide) for x in more]])
+                starts = np.cumsum(sizes) - sizes
+                slots = np.insert(slots, places[1:], known + len(more) - 1)
                 places = places + np.arange(len(texts) + 1)
                 for k, i in enumerate(whole):
-                    codes = np.insert(codes, places[i + 1] - 1, first + k)
+                    slots = np.insert(slots, places[i + 1] - 1, known + k)
                     places[i + 1 :] += 1
-                sizes = np.array([len(x) for x in each], dtype=np.int64)
-                values = np.concatenate([np.array(x, dtype=wide) for x in each]) if len(each) < 16 else np.fromiter((i for x in each for i in x), wide, int(sizes.sum()))
-                lengths = sizes[codes]
-                ids = values[ranges((np.cumsum(sizes) - sizes)[codes], lengths)]
+                lengths = sizes[slots]
+                ids = values[ranges(starts[slots], lengths)]
                 ends = np.concatenate([[0], np.cumsum(lengths)])[places]
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends * ids.itemsize), pa.py_buffer(ids)])
-                rest = [part.column(c) for c in part.schema.names if c != "text"]
                 names = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, binary.cast(pa.binary()), pa.array(np.diff(ends))], [*names, "ids", "n"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], binary.cast(pa.binary()), pa.array(np.diff(ends))], [*names, "ids", "n"])
 
     return work
 
