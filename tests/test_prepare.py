@@ -242,3 +242,11 @@ def test_stage_folder_on_a_cluster_must_be_named():
     session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         new_folder(session, "x")
+
+
+def test_epochs_follow_from_steps(spark):
+    from tokenloom.plans.training import training_blocks
+
+    raw = spark.createDataFrame([(i, "a b ", None, "c d e") for i in range(8)], "id bigint, instruction string, input string, output string")
+    blocks = training_blocks(raw, 6, 2, max_steps=10)
+    assert blocks.agg(F.max("epoch")).first()[0] == 2  # 48 tokens an epoch, 120 are needed

@@ -100,3 +100,23 @@ def test_nothing_vanishes_without_role_or_task(spark):
     items = spark.createDataFrame([("gsm8k", 1), ("arc", 2), ("arc", 3)], "task string, item_id bigint")
     got = [(r.task, r.items, r.num_fewshot) for r in requests.run_matrix(items, templates=(True,)).collect()]
     assert sorted(got, key=str) == [("arc", 2, None), ("gsm8k", 1, 4)]
+
+
+def test_evaluation_from_requests_to_samples_and_log(spark):
+    from tokenloom.operators.metrics import throughput
+    from tokenloom.plans.evaluation import evaluate
+
+    rows = [(i, "ask " * (i + 1), ["#"] if i % 2 else ["!"]) for i in range(10)]
+    items = spark.createDataFrame(rows, "item_id bigint, context string, until array<string>")
+    asked = requests.request_table(items, settings=["until"])
+
+    def echo(batch):
+        return batch[["item_id"]].assign(response=[f"{len(i)}!x#y" for i in batch["input_ids"]], tokens=3)
+
+    samples, log = evaluate(asked, echo, 4, world_size=2)
+    width = [4, 4, 4, 4, 8, 8, 8, 8, 10, 10]
+    assert {r.item_id: r.response for r in samples.collect()} == {i: f"{w}!x" if i % 2 else str(w) for i, w in enumerate(width)}
+    assert sorted((r.rank, r.batch_id, r.tokens, r.calls) for r in log.collect()) == [(0, 0, 12, 1), (0, 2, 6, 1), (1, 1, 12, 1)]
+    assert throughput(log).first().tokens == 30
+    joined, _ = evaluate(asked.withColumn("until", F.lit("x #")), echo, 4)
+    assert {r.response for r in joined.collect()} == {f"{w}!" for w in width}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,3 +32,32 @@ def generate(
     Padding already placed the rows of a batch together, so no further exchange is made.
     """
     return padded.groupBy("batch_id").applyInPandas(fn, schema)
+
+
+def generate_logged(padded: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """`item_id, response, batch_id, tokens, calls, seconds` of each row: what the function returns, and its run log.
+
+    `fn` returns `item_id, response` and may report `tokens` and `calls` per row (else 0 tokens and one call a
+    batch). The seconds of a batch stand on its first row.
+    """
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        started = time.perf_counter()
+        out = fn(batch).reset_index(drop=True)
+        first = out.index == 0
+        seconds = time.perf_counter() - started
+        return pd.DataFrame(
+            {
+                "item_id": out["item_id"],
+                "response": out["response"],
+                "batch_id": batch["batch_id"].iloc[0],
+                "tokens": out["tokens"] if "tokens" in out else 0,
+                "calls": out["calls"] if "calls" in out else first.astype("int64"),
+                "seconds": first * seconds,
+            }
+        )
+
+    schema = T.StructType([padded.schema["item_id"], T.StructField("response", T.StringType()), padded.schema["batch_id"]])
+    for name, kind in (("tokens", T.LongType()), ("calls", T.LongType()), ("seconds", T.DoubleType())):
+        schema = schema.add(name, kind)
+    return padded.groupBy("batch_id").applyInPandas(run, schema)

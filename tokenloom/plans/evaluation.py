@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tokenloom.constants import END_OF_TEXT, PAD_ID
 from tokenloom.functions.text import HashEncoder
-from tokenloom.operators.hooks import generate
+from tokenloom.operators.hooks import generate, generate_logged
 from tokenloom.operators.order import number_batches
-from tokenloom.operators.prompts import add_bos, cut_at_stop, left_pad, left_truncate
+from tokenloom.operators.prompts import add_bos, cut_at_stop, left_pad, left_truncate, split_until
+from tokenloom.sources.workspace import stage
 
 
 def padded_batches(
@@ -29,6 +30,39 @@ def padded_batches(
     return left_pad(number_batches(kept, batch_size), pad_id)
 
 
+def evaluate(
+    requests: DataFrame,
+    fn: Callable[[pd.DataFrame], pd.DataFrame],
+    batch_size: int,
+    max_prompt: int | None = None,
+    bos: str = "",
+    world_size: int = 1,
+    eos_text: str = END_OF_TEXT,
+    encoder: HashEncoder = HashEncoder(),
+) -> tuple[DataFrame, DataFrame]:
+    """From requests (`item_id, text` and, if given, `until`) to samples and the run log.
+
+    `until` is a list of stop terms per request or one text of them separated by spaces. Samples are `item_id,
+    response`, each cut at its own terms. The log has `rank, batch_id, step, tokens, calls, seconds` as `throughput`
+    takes it; batches go to ranks in turn. The function's output is staged, so it runs once for both.
+    """
+    padded = padded_batches(requests.select("item_id", F.col("text").alias("context")), batch_size, max_prompt, bos, encoder)
+    made = stage(generate_logged(padded, fn), "responses")
+    samples = made.select("item_id", "response")
+    terms = F.array().cast("array<string>")
+    if "until" in requests.columns:
+        own = F.col("until") if dict(requests.dtypes)["until"].startswith("array") else split_until(F.col("until"))
+        samples = samples.join(requests.select("item_id", own.alias("until")), "item_id")
+        terms = F.coalesce("until", terms)
+    samples = cut_at_stop(samples, terms, eos_text).select("item_id", "response")
+    sums = made.groupBy("batch_id").agg(*[F.sum(c).alias(c) for c in ("tokens", "calls", "seconds")])
+    log = sums.select(
+        F.pmod("batch_id", F.lit(world_size)).cast("int").alias("rank"), "batch_id", F.col("batch_id").alias("step"),
+        "tokens", "calls", "seconds",
+    )
+    return samples, log
+
+
 def responses(
     padded: DataFrame,
     fn: Callable[[pd.DataFrame], pd.DataFrame],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tokenloom.constants import BATCH_SIZE, MAX_LENGTH, SEED
 from tokenloom.functions.text import HashEncoder
@@ -26,8 +26,11 @@ def training_blocks(
     encoder: HashEncoder = HashEncoder(),
     staged: bool = True,
     tokenizer: Callable[[DataFrame, int], DataFrame] | None = None,
+    max_steps: int | None = None,
+    accumulation: int = 1,
 ) -> DataFrame:
-    """Prepare, pack and noise.
+    """Prepare, pack and noise. With `max_steps` the number of epochs follows from the staged token total: enough for
+    that many optimizer steps of `accumulation` batches on every consumer.
 
     `tokenizer` turns (raw records, length limit) into token records in place of hashing: a partial application of
     `tokenize_with_vocab` or `tokenize_with`, for example.
@@ -39,5 +42,8 @@ def training_blocks(
     records = with_token_count(made.drop("token_count"))
     if staged:
         records = stage(records, "tokenized")
+    if max_steps is not None:
+        total = max(1, records.agg(F.sum("n_tokens")).first()[0] or 1)
+        epochs = max(1, -(-max_steps * accumulation * batch_size * max_length * world_size // total))
     ordered = assign_shards(order_epochs(records, seed, epochs), world_size, epochs)
     return noise(pack(ordered, max_length, batch_size, streams=epochs * world_size), seed)

@@ -126,9 +126,12 @@ def generate_hook(spark, sf_dir):
     def echo(batch):
         width = batch["input_ids"].str.len().max()
         text = [f"{width} {sum(i)}.{len(batch)}" for i in batch["input_ids"]]
-        return batch[["item_id"]].assign(response=text)
+        return batch[["item_id"]].assign(response=text, tokens=width)
 
-    return plan.responses(_padded(spark, sf_dir), echo, F.array(*map(F.lit, UNTIL)))
+    items = views.answers(spark, sf_dir).withColumn("until", F.array(*map(F.lit, UNTIL)))
+    asked = requests.request_table(items, context="response", settings=["until"])
+    samples, _ = plan.evaluate(asked, echo, ROWS, bos=BOS)
+    return samples
 
 
 def batch_tokens(spark, sf_dir):

@@ -20,9 +20,11 @@ TASKS = (
 )
 
 
-def request_table(df: DataFrame, item: str = "item_id", context: str = "context") -> DataFrame:
-    """One row per request: its id and the context text."""
-    return df.select(F.col(item).alias("item_id"), F.col(context).alias("text"))
+def request_table(
+    df: DataFrame, item: str = "item_id", context: str = "context", settings: Sequence[str] = ()
+) -> DataFrame:
+    """One row per request: its id, the context text and its own generation settings (`until`, a length, ...)."""
+    return df.select(F.col(item).alias("item_id"), F.col(context).alias("text"), *settings)
 
 
 def task_name(item: Column, tasks: Sequence[tuple] = TASKS) -> Column:
