@@ -57,7 +57,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_ordinal_quality": (op1_ordinal_quality, None),
     "op2_weighted_minhash": (op2_weighted_minhash, None),
     "op3_tiered_packing": (op3_tiered_packing, None),
-    "op4_secret_ownership": (op4_secret_ownership, None),
+    "op4_secret_ownership": (op4_secret_ownership, secrets.SQL),
     "op5_jump_shards": (op5_jump_shards, None),
     "op6_sentence_licenses": (op6_sentence_licenses, licenses.SQL),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),

@@ -133,3 +133,40 @@ def secret_query(documents: DataFrame) -> DataFrame:
         written(F.col("spans")).alias("spans"),
         written(F.filter("spans", lambda s: s["example"])).alias("example_spans"),
     )
+
+
+def _sql() -> str:
+    quote = lambda p: p.replace("'", "''")
+    base = ((ASSIGN, 2, 12), (ACCESS, 0, 18), (HEX, 0, 16), (RUN, 0, 20))
+    each = " UNION ALL ".join(
+        f"SELECT u, {kind} AS kind, {least} AS least, string_split_regex(t, '{quote(p)}') AS b, "
+        f"regexp_extract_all(t, '{quote(p)}', 0) AS m, regexp_extract_all(t, '{quote(p)}', {group}) AS v FROM d"
+        for kind, (p, group, least) in enumerate(base)
+    )
+    names = "['" + "', '".join(KINDS) + "'][kind + 1]"
+    written = f"string_agg({names} || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS o FROM documents),
+x AS ({each}),
+p AS (
+  SELECT u, kind, least, v[i] AS value, length(m[i]) AS n,
+    list_sum(list_transform(b[:i], lambda y: length(y)))::BIGINT + coalesce(list_sum(list_transform(m[:i - 1], lambda y: length(y))), 0)::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM x)),
+q AS (SELECT u, kind, value, s, s + n AS e FROM p WHERE length(value) >= least),
+c AS (
+  SELECT * FROM q WHERE kind < 3 OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
+    AND NOT EXISTS (FROM q o WHERE o.u = q.u AND o.kind < 3 AND o.s < q.e AND q.s < o.e))),
+w AS (SELECT value, count(DISTINCT o) > 1 AS example FROM c JOIN d USING (u) GROUP BY value),
+k AS (SELECT * FROM c JOIN w USING (value) WHERE kind < 3 OR NOT example),
+g AS (
+  SELECT u, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    count(*) FILTER (kind = 3) AS n_owned, {written} FILTER (kind < 3) AS first, {written} AS spans, {written} FILTER (example) AS example_spans
+  FROM k GROUP BY u)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  coalesce(n_owned, 0) AS n_owned, sha256(coalesce(first, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(example_spans, '') AS example_spans
+FROM d LEFT JOIN g USING (u)
+"""
+
+
+SQL = _sql()
