@@ -134,3 +134,38 @@ def digest_documents(documents: DataFrame) -> DataFrame:
     dealt = placed.repartition(partitions, "bucket").sortWithinPartitions("bucket", "late", "doc_id", "h", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return dealt.mapInArrow(digest_batches, schema)
+
+
+SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, count(*) OVER () AS n FROM documents),
+e AS (
+  SELECT a.r, a.doc_id, a.t, b.r AS after, left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS changed
+  FROM d a JOIN d b ON b.r = a.r % a.n + 1),
+f AS (SELECT r, 0 AS k, t AS s FROM e UNION ALL SELECT r, 1, changed FROM e),
+h AS (
+  SELECT r, k, strlen(s) AS n, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: ('0x' || x)::BIGINT) AS h FROM f),
+v AS (SELECT r, k, unnest(h[: n - 2]) + unnest(h[2 : n - 1]) * 256 + unnest(h[3 :]) * 65536 AS v FROM h WHERE n > 2),
+b AS (SELECT r, k, ((v * 2654435761) & 4294967295) >> 25 AS bucket, count(*) AS c FROM v GROUP BY ALL),
+z AS (
+  SELECT h.r, h.k, h.n, list(coalesce(b.c, 0) ORDER BY i.i) AS l
+  FROM h CROSS JOIN (SELECT unnest(range(128)) AS i) i LEFT JOIN b ON b.r = h.r AND b.k = h.k AND b.bucket = i.i GROUP BY h.r, h.k, h.n),
+q AS (SELECT *, list_sort(l)[32] AS q1, list_sort(l)[64] AS q2, list_sort(l)[96] AS q3 FROM z),
+c AS (
+  SELECT r, k, least(255, floor(8 * log2(n + 1))::BIGINT) AS size, 16 * q1 // (q3 + 1) AS x, 16 * q2 // (q3 + 1) AS y,
+    list_transform(l, lambda a: (a > q1)::BIGINT + (a > q2)::BIGINT + (a > q3)::BIGINT) AS code
+  FROM q),
+p AS (
+  SELECT *, format('{:02x}{:x}{:x}', size, x, y) || array_to_string(list_transform(range(32),
+    lambda j: format('{:02x}', code[4 * j + 1] * 64 + code[4 * j + 2] * 16 + code[4 * j + 3] * 4 + code[4 * j + 4])), '') AS print
+  FROM c),
+m AS (
+  SELECT e.doc_id, length(e.t) AS n_chars, sha256(e.changed) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+    least(64, abs(a.size - b.size)) + 4 * (abs(a.x - b.x) + abs(a.y - b.y)) + list_sum(list_transform(range(1, 129),
+      lambda i: CASE abs(a.code[i] - b.code[i]) WHEN 3 THEN 6 ELSE abs(a.code[i] - b.code[i]) END)) AS to_edited,
+    least(64, abs(a.size - o.size)) + 4 * (abs(a.x - o.x) + abs(a.y - o.y)) + list_sum(list_transform(range(1, 129),
+      lambda i: CASE abs(a.code[i] - o.code[i]) WHEN 3 THEN 6 ELSE abs(a.code[i] - o.code[i]) END)) AS to_next
+  FROM e JOIN p a ON a.r = e.r AND a.k = 0 JOIN p b ON b.r = e.r AND b.k = 1 JOIN p o ON o.r = e.after AND o.k = 0)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, 1.0::DOUBLE - to_edited::DOUBLE / 952 AS near_edited,
+  1.0::DOUBLE - to_next::DOUBLE / 952 AS near_next
+FROM m
+"""

@@ -62,6 +62,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_sentence_licenses": (op6_sentence_licenses, licenses.SQL),
     "op7_columnar_topk": (op7_columnar_topk, topk.SQL),
     "op8_bpe_automaton": (op8_bpe_automaton, None),
-    "op9_quartile_digest": (op9_quartile_digest, None),
+    "op9_quartile_digest": (op9_quartile_digest, digests.SQL),
     "op10_pseudo_likelihood": (op10_pseudo_likelihood, None),
 }
