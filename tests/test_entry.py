@@ -16,7 +16,8 @@ rows = blocks.collect()
 assert rows and all(len(r.input_ids) == 256 == len(r.labels) for r in rows), len(rows)
 assert {{(r.epoch, r.shard) for r in rows}} == {{(e, s) for e in (0, 1) for s in (0, 1)}}
 assert entry.queries()["encode_with_vocab"](spark, "/root/testdata/sf0.001").count() == 200
-assert set(entry.oracle_sql()) <= set(entry.queries())
+from tokenloom.queries import REGISTRY
+assert set(REGISTRY) <= set(entry.oracle_sql()) <= set(entry.queries())
 print("fine", len(rows))
 """
 
