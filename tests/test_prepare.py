@@ -250,3 +250,11 @@ def test_epochs_follow_from_steps(spark):
     raw = spark.createDataFrame([(i, "a b ", None, "c d e") for i in range(8)], "id bigint, instruction string, input string, output string")
     blocks = training_blocks(raw, 6, 2, max_steps=10)
     assert blocks.agg(F.max("epoch")).first()[0] == 2  # 48 tokens an epoch, 120 are needed
+
+
+def test_two_system_messages_make_no_second_record(spark, tmp_path):
+    from tokenloom.sources.views import instruction_records
+
+    rows = [(1, 0, "system", "a"), (1, 1, "system", "b"), (1, 2, "user", "q"), (1, 3, "assistant", "r")]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [tuple(r) for r in instruction_records(spark, str(tmp_path)).collect()] == [(103, "q", "b", "r")]

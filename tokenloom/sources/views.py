@@ -33,7 +33,8 @@ def instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "turn", (F.col("turn") - 1).alias("asked"), F.col("text").alias("output")
     )
     questions = turns.select("conv_id", F.col("turn").alias("asked"), F.col("text").alias("instruction"))
-    system = turns.where("role = 'system'").select("conv_id", F.col("text").alias("input"))
+    # One row per conversation, also where it has several system messages.
+    system = turns.where("role = 'system'").groupBy("conv_id").agg(F.max("text").alias("input"))
     return (
         answers.join(questions, ["conv_id", "asked"], "left")
         .join(system, "conv_id", "left")
