@@ -27,9 +27,9 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every document stays; secrets in its text are replaced, widely copied examples and live-looking ones by
     different words. `n_chars` follows the text; texts without a secret are left as they are."""
     found = secrets.scan(docs.select(*COLUMNS))
-    text = secrets.redact(F.col("text"), F.col("spans"))
-    length = F.when(F.size("spans") > 0, F.char_length(text).cast("bigint")).otherwise(F.col("n_chars"))
-    return found.select("doc_id", text.alias("text"), "lang", "source", length.alias("n_chars"))
+    clean = found.withColumn("clean", secrets.redact(F.col("text"), F.col("spans")))
+    length = F.when(F.size("spans") > 0, F.char_length("clean").cast("bigint")).otherwise(F.col("n_chars"))
+    return clean.select("doc_id", F.col("clean").alias("text"), "lang", "source", length.alias("n_chars"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
