@@ -82,49 +82,55 @@ def windows(texts: pa.Array, ids: np.ndarray, powers: Powers) -> tuple[np.ndarra
     return padded, places, offsets
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def picked(x: np.ndarray, which: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """log softmax of each row at its own column; with `backward`, also softmax minus one there, in place of x."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[rows, which]
+    np.exp(x, out=x)
+    sums = x.sum(axis=1)
+    if backward:
+        x /= sums[:, None]
+        x[rows, which] -= 1
+    return own - np.log(sums), x if backward else None
 
 
 def forward(v: dict, padded: np.ndarray, places: np.ndarray, backward: bool = False):
     """log P(word | both sides) at the places: a class is predicted from the hidden layer, then a word of that
     class. With `backward`, also the gradients of the negative sum."""
     around = [padded[places + o] for o in WINDOW]
-    hidden = v["bias"] + v["inputs"][0][around[0]]
+    hidden = v["inputs"][0].take(around[0], axis=0)
     for table, near in zip(v["inputs"][1:], around[1:], strict=True):
-        hidden += table[near]
+        hidden += table.take(near, axis=0)
+    hidden += v["bias"]
     np.tanh(hidden, out=hidden)
-    word = padded[places].astype(np.int64)
-    own, member = word % CLASSES, word // CLASSES
-    order = np.argsort(own.astype(np.uint8), kind="stable")
+    word = padded[places]
+    own, member = (word % CLASSES).astype(np.uint8), word // CLASSES
+    found, error = picked(hidden @ v["classes"] + v["class_bias"], own, backward)
+    # Words of one class lie together, so each class is one product.
+    order = np.argsort(own, kind="stable")
+    some, which = hidden.take(order, axis=0), member.take(order)
     ends = np.cumsum(np.bincount(own, minlength=CLASSES))
-    by_class = log_softmax(hidden @ v["classes"] + v["class_bias"])
-    every = np.arange(len(places))
-    found = by_class[every, own]
-    slope = np.zeros_like(hidden) if backward else None
-    grads = {name: np.zeros(SHAPES[name], np.float32) for name in ("classes", "class_bias", "words", "word_bias")} if backward else {}
+    inside = np.empty(len(places), dtype=hidden.dtype)
+    slope = np.empty_like(hidden) if backward else None
+    grads = {name: np.zeros(SHAPES[name], np.float32) for name in ("words", "word_bias")} if backward else {}
     for k in range(CLASSES):
-        rows = order[ends[k - 1] if k else 0 : ends[k]]
-        if not len(rows):
+        rows = slice(ends[k - 1] if k else 0, ends[k])
+        if rows.start == rows.stop:
             continue
-        some = hidden[rows]
-        inside = log_softmax(some @ v["words"][k] + v["word_bias"][k])
-        which = member[rows]
-        found[rows] += inside[np.arange(len(rows)), which]
+        inside[rows], wrong = picked(some[rows] @ v["words"][k] + v["word_bias"][k], which[rows], backward)
         if backward:
-            error = np.exp(inside)
-            error[np.arange(len(rows)), which] -= 1
-            grads["words"][k], grads["word_bias"][k] = some.T @ error, error.sum(axis=0)
-            slope[rows] = error @ v["words"][k].T
+            grads["words"][k], grads["word_bias"][k] = some[rows].T @ wrong, wrong.sum(axis=0)
+            np.matmul(wrong, v["words"][k].T, out=slope[rows])
+    found[order] += inside
     if not backward:
         return found
-    error = np.exp(by_class)
-    error[every, own] -= 1
     grads["classes"], grads["class_bias"] = hidden.T @ error, error.sum(axis=0)
-    slope = (slope + error @ v["classes"].T) * (1 - hidden * hidden)
-    grads["bias"] = slope.sum(axis=0)
-    return found, grads, slope, around
+    back = error @ v["classes"].T
+    back[order] += slope
+    back *= 1 - hidden * hidden
+    grads["bias"] = back.sum(axis=0)
+    return found, grads, back, around
 
 
 def step(v: dict, seen: dict, padded: np.ndarray, places: np.ndarray) -> None:
@@ -139,7 +145,7 @@ def step(v: dict, seen: dict, padded: np.ndarray, places: np.ndarray) -> None:
         order = np.argsort(near, kind="stable")
         sorted_ids = near[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-        g = np.add.reduceat(slope[order], first, axis=0) / n
+        g = np.add.reduceat(slope.take(order, axis=0), first, axis=0) / n
         rows = sorted_ids[first]
         seen["inputs"][o][rows] += g * g
         v["inputs"][o][rows] -= RATE * g / np.sqrt(seen["inputs"][o][rows])
