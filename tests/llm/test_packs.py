@@ -61,3 +61,25 @@ def test_pieces_are_the_library_s_ids(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
         assert sum(r.length for r in own) == len(ids) * (2 if d == 3 else 1)
     assert packs.pack_digest(df.limit(0)).collect() == []
+
+
+def test_letters_that_decompose_are_the_library_s_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(packs.public_path("word_bpe_49k.json"))
+    words = ["plain", " \u0938\u095c\u0915", " \u095b", "\u09dc", " \ufb2a", " \u0130x", " word"]
+
+    def check():
+        store = packs.Pieces(coder, np.uint16)
+        for p, k in zip(words, store.slots(words), strict=True):
+            assert store.ids[store.starts[k] :][: store.sizes[k]].tolist() == coder.encode(p, add_special_tokens=False).ids, p
+
+    check()
+    # Also where the rule is wrong about a piece.
+    monkeypatch.setattr(packs, "only_letters", lambda p: True)
+    check()
+
+
+def test_a_decomposed_letter_does_not_fail_the_job(spark):
+    rows = spark.createDataFrame([(1, "a \u0938\u095c\u0915 b"), (2, "plain words")], "doc_id long, text string")
+    assert {r.doc_id for r in packs.pack_digest(rows).collect()} == {1, 2}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 
@@ -53,11 +54,18 @@ def pieces(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return cut.dictionary_encode(), np.searchsorted(places, offsets)
 
 
+def only_letters(piece: str) -> bool:
+    """Whether a piece is letters only as the tokenizer sees it, in form C and lower case: some letters become a
+    letter and a mark there, at which the tokenizer cuts."""
+    word = piece.strip(" \n")
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class Pieces:
     """Ids of distinct pieces, each worked out once while the store is not full.
 
     Letters-only pieces are one word each, so many are encoded as one text and told apart by the ids that end a
-    word; other pieces are encoded on their own.
+    word; other pieces are encoded on their own, and so are those of a text that ends another number of words.
     """
 
     def __init__(self, coder, wide: type) -> None:
@@ -71,20 +79,26 @@ class Pieces:
         self.slot: dict[str, int] = {}
         self.ids, self.starts, self.sizes = (np.zeros(0, t) for t in (self.wide, np.int64, np.int64))
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.wide) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
     def add(self, parts: list[str]) -> None:
-        plain = [p for p in parts if (w := p.strip(" \n")).isalpha() and "\u0130" not in w]
-        alone = [p for p in parts if not ((w := p.strip(" \n")).isalpha() and "\u0130" not in w)]
-        texts = [" ".join(plain[i : i + JOINED]) for i in range(0, len(plain), JOINED)]
-        found = [np.array(e.ids, dtype=self.wide) for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
-        joined = np.concatenate([np.zeros(0, self.wide), *found])
-        ends = np.flatnonzero(self.closes[joined]) + 1
-        if len(ends) != len(plain):
-            raise ValueError("a piece of letters is not one word of this tokenizer")
-        each = [e.ids for e in self.coder.encode_batch_fast(alone, add_special_tokens=False)]
-        sizes = np.concatenate([np.diff(ends, prepend=0), np.array([len(x) for x in each], dtype=np.int64)])
+        letters = [p for p in parts if only_letters(p)]
+        alone = [p for p in parts if not only_letters(p)]
+        plain, joined, sizes = [], [np.zeros(0, self.wide)], [np.zeros(0, np.int64)]
+        chunks = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for chunk, ids in zip(chunks, self.encode([" ".join(c) for c in chunks]), strict=True):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(chunk) and ends[-1] == len(ids):
+                plain += chunk
+                joined.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                alone += chunk
+        each = self.encode(alone)
         self.slot.update((p, len(self.sizes) + i) for i, p in enumerate([*plain, *alone]))
-        self.ids = np.concatenate([self.ids, joined, np.array([i for x in each for i in x], dtype=self.wide)])
-        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, *joined, *each])
+        self.sizes = np.concatenate([self.sizes, *sizes, np.array([len(x) for x in each], dtype=np.int64)])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def slots(self, parts: list[str]) -> np.ndarray:
