@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -84,3 +85,46 @@ def test_empty_table(spark):
     assert lm.likelihood_query(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     lone = lm.likelihood_query(spark.createDataFrame([(None, None)], "doc_id long, text string")).first()
     assert lone.n_words == 0 and lone.log_likelihood == 0.0
+
+
+def test_counts_vocabulary_and_classes_follow_the_corpus(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(1, 3001, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm, "HELD", 500)
+    counts = lm.count_words(df)
+    plain = Counter(w for t in texts for w in t.split())
+    assert sorted(r.n for r in counts.collect()) == sorted(plain.values())
+    want = sum(len(t.split()) for t in texts)
+    assert counts.agg({"n": "sum"}).first()[0] == want
+    monkeypatch.setattr(lm, "LEAST", 100)
+    known, by_id, rest = lm.lexicon(counts)
+    assert known.own == counts.where("n >= 100").count() > 2500 and rest is None
+    assert known.classes == pytest.approx(known.size**0.5, abs=1) and known.size > lm.VOCABULARY
+    assert by_id.sum() == want and len(by_id) == known.size
+
+
+@pytest.mark.parametrize("table", [1 << 18, 0])
+def test_rare_words_differ_by_their_counts(spark, monkeypatch, table):
+    monkeypatch.setattr(lm, "FEWEST", 1)
+    monkeypatch.setattr(lm, "OTHER", 1)
+    monkeypatch.setattr(lm, "TABLE", table)
+    monkeypatch.setattr(lm, "LEAST", 50)
+    train = [(0, "the the " * 50 + "often " * 30 + "twice twice once")]
+    df = spark.createDataFrame(train, "doc_id long, text string")
+    model = lm.train(df)
+    assert (model[2] is None) == (table > 0)
+    asked = ["often", "twice", "once", "unseen", "the", "often twice"]
+    rows = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(2)
+    got = {r.text: r.log_likelihood for r in lm.score(rows, model).collect()}
+    # One id is shared here, or a few: words on one id differ by the logarithm of their counts alone.
+    known, total = model[0], {}
+    hashes, _ = word_hashes(pa.array(["often twice once unseen"]), Powers())
+    ids, _ = known.look(hashes)
+    v = lm.views(model[1], known.classes, known.members)
+    for w, i, n in zip(["often", "twice", "once", "unseen"], ids, [30, 2, 1, 1], strict=True):
+        padded = np.array([known.size] * 5, dtype=known.ids.dtype)
+        padded[2] = i
+        alone = lm.forward(v, padded, np.array([2]))[0]
+        assert got[w] == pytest.approx(alone + math.log(n / (known.totals[i - known.own] + 1)), rel=1e-4), w
+        total[i] = total.get(i, 0) + (n if w != "unseen" else 0)
+    assert all(known.totals[i - known.own] == n for i, n in total.items())

@@ -9,48 +9,143 @@ from pyspark.sql import DataFrame, functions as F
 from tokenloom.llm import folds
 from tokenloom.llm.batches import slices
 from tokenloom.llm.words import Powers, word_hashes
-
-#: Hashed words that are counted; words of the vocabulary, of which the last OTHER share all rarer ones; classes.
+from tokenloom.sources.workspace import stage
+
+#: Words that occur LEAST times have ids of their own, and the FEWEST most frequent at any rate; one id in SHARE, OTHER
+#: at least, is shared by all rarer ones. Of those, about TABLE are broadcast with their counts.
+LEAST, FEWEST, SHARE, TABLE = 1000, 960, 16, 1 << 18
+#: Distinct words that a task counts before it sends them on.
+HELD = 1 << 20
+#: A model of one size, for tables of ids by hash: hashed words, ids, ids that are shared, classes.
 HASH_BITS, VOCABULARY, OTHER, CLASSES, HIDDEN = 16, 1024, 64, 32, 16
 MEMBERS = VOCABULARY // CLASSES
 WINDOW = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.1
 PAD = VOCABULARY
 #: Parameters by name, in the order in which they lie in one flat array.
-SHAPES = {
-    "inputs": (len(WINDOW), VOCABULARY + 1, HIDDEN),
-    "bias": (HIDDEN,),
-    "classes": (HIDDEN, CLASSES),
-    "class_bias": (CLASSES,),
-    "words": (CLASSES, HIDDEN, MEMBERS),
-    "word_bias": (CLASSES, MEMBERS),
-}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-
-
-def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+def shapes(classes: int = CLASSES, members: int = MEMBERS) -> dict[str, tuple[int, ...]]:
+    return {
+        "inputs": (len(WINDOW), classes * members + 1, HIDDEN),
+        "bias": (HIDDEN,),
+        "classes": (HIDDEN, classes),
+        "class_bias": (classes,),
+        "words": (classes, HIDDEN, members),
+        "word_bias": (classes, members),
+    }
+
+
+def views(flat: np.ndarray, classes: int = CLASSES, members: int = MEMBERS) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in shapes(classes, members).items():
         size = int(np.prod(shape))
         out[name] = flat[at : at + size].reshape(shape)
         at += size
     return out
 
 
-def count_words(df: DataFrame, text: str = "text") -> np.ndarray:
-    """How often each hashed word occurs in all texts."""
+def merged(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(words), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def count_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): how often each word, by its hash of 64 bits, occurs in all texts. Counts are combined in a task
+    before the exchange."""
 
     def count(batches):
-        powers, found, part = Powers(), np.zeros(1 << HASH_BITS, dtype=np.int64), None
+        powers, words, counts, size = Powers(), [], [], 0
+        send = lambda w, n: pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], ["word", "n"])
         for batch in batches:
-            part = batch.column("part")[0].as_py() if batch.num_rows else part
             for rows in slices(batch, "text"):
-                hashes, _ = word_hashes(rows.column("text"), powers)
-                found += np.bincount((hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64), minlength=len(found))
-        if part is not None:
-            yield folds.packed(part, found)
+                found, n = np.unique(word_hashes(rows.column("text"), powers)[0], return_counts=True)
+                words, counts, size = [*words, found], [*counts, n], size + len(found)
+                if size > 2 * HELD:
+                    found, n = merged(words, counts)
+                    words, counts, size = [found], [n], len(found)
+                    if size > HELD:
+                        yield send(found, n)
+                        words, counts, size = [], [], 0
+        if size:
+            yield send(*merged(words, counts))
+
+    return df.select(F.col(text).alias("text")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Lexicon:
+    """Ids of words by their hashes, and the share that a rare word has in the id it shares.
+
+    `listed` words (hash, count) are the vocabulary and the more frequent of the rare ones; the first `own` by count
+    have ids of their own. `totals` gives the running words of each shared id. A rare word of count n has the share
+    n / (total + 1) of its id; a word that occurs once has as much as all unseen ones, so the shares of an id and
+    that of the unseen words sum to one.
+    """
 
-    return folds.total(folds.numbered(df, text).mapInArrow(count, folds.SCHEMA), np.int64, 1 << HASH_BITS)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, own: int) -> None:
+        # The shared ids fill the classes, about as many as each has members.
+        least = own + max(OTHER, own // (SHARE - 1))
+        self.own, self.classes = own, max(1, round(least**0.5))
+        self.members = -(-least // self.classes)
+        self.size, self.shared = self.classes * self.members, self.classes * self.members - own
+        by_count = np.lexsort((hashes, -counts))
+        order = np.argsort(hashes[by_count])
+        self.hashes, self.counts, self.first = hashes[by_count][order], counts[by_count[:own]], None
+        number = np.arange(len(hashes))[order]
+        self.ids = np.where(number < own, number, own + self.hashes.view(np.int64) % self.shared).astype(np.uint16 if self.size < 1 << 16 else np.uint32)
+        self.weight = np.where(number < own, 0.0, np.log(np.maximum(counts[by_count][order], 1))).astype(np.float64)
+        self.totals = np.zeros(self.shared, dtype=np.int64)
+        self.bits = max(4, (4 * len(hashes)).bit_length())
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Place of each hash among the listed ones, or -1."""
+        if self.first is None:
+            self.first = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, found = self.first[bucket], np.full(len(hashes), -1, dtype=np.int32)
+        open_ = np.flatnonzero(at < self.first[bucket + 1])
+        while len(open_):
+            same = self.hashes[at[open_]] == hashes[open_]
+            found[open_[same]] = at[open_[same]]
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[at[open_] < self.first[bucket[open_] + 1]]
+        return found
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and their places among the listed ones."""
+        at = self.find(hashes)
+        unlisted = np.flatnonzero(at < 0)
+        ids = self.ids[at] if len(self.ids) else np.zeros(len(hashes), dtype=self.ids.dtype)
+        ids[unlisted] = self.own + hashes[unlisted].view(np.int64) % self.shared
+        return ids, at
+
+    def shares(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log of the share of each word in its id; an unlisted word counts as one that occurs once."""
+        out = np.zeros(len(ids))
+        rare = np.flatnonzero(ids >= self.own)
+        listed = rare[at[rare] >= 0]
+        out[listed] = self.weight[at[listed]]
+        out[rare] -= np.log1p(self.totals)[ids[rare].astype(np.int64) - self.own]
+        return out
+
+
+def lexicon(counts: DataFrame) -> tuple[Lexicon, np.ndarray, DataFrame | None]:
+    """The lexicon of a corpus from its (word, n), counts by id, and the words that occur more than once but are too many
+    to be listed (none: no table). Words reach the driver down to the least count at which about TABLE rare ones do."""
+    levels = dict(counts.where("n > 1").groupBy(F.least("n", F.lit(LEAST)).alias("n")).count().collect())
+    listed, cut = 0, LEAST
+    while cut > 2 and listed + levels.get(cut - 1, 0) <= TABLE:
+        cut -= 1
+        listed += levels.get(cut, 0)
+    some = counts.where(F.col("n") >= cut).toArrow().combine_chunks()
+    column = lambda name: np.concatenate([np.zeros(0, np.int64), *[c.to_numpy() for c in some.column(name).chunks]])
+    found = Lexicon(column("word").view(np.uint64), column("n"), max(levels.get(LEAST, 0), min(FEWEST, some.num_rows)))
+    shared = F.pmod("word", F.lit(found.shared))
+    for at, n in counts.groupBy(shared.alias("at")).agg(F.sum("n")).collect():
+        found.totals[at] = n
+    top = found.hashes[found.ids < found.own]
+    np.subtract.at(found.totals, top.view(np.int64) % found.shared, found.counts[found.ids[found.ids < found.own]])
+    more = any(n for level, n in levels.items() if level < cut)
+    return found, np.concatenate([found.counts, found.totals]), counts.where((F.col("n") > 1) & (F.col("n") < cut)) if more else None
 
 
 def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,25 +156,32 @@ def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(ids, weights=counts, minlength=VOCABULARY)
 
 
-def start(counts: np.ndarray) -> np.ndarray:
+def start(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Small random weights, and biases that alone give each word its share of the corpus."""
-    flat = (np.random.default_rng(3).normal(size=SIZE) * 0.1).astype(np.float32)
-    v, table = views(flat), (counts + 1.0).reshape(CLASSES, MEMBERS, order="F")
+    members = len(counts) // classes
+    size = sum(int(np.prod(s)) for s in shapes(classes, members).values())
+    flat = (np.random.default_rng(3).normal(size=size) * 0.1).astype(np.float32)
+    v, table = views(flat, classes, members), (counts + 1.0).reshape(classes, members, order="F")
     v["bias"][:] = 0
     v["class_bias"][:] = np.log(table.sum(axis=1) / table.sum())
     v["word_bias"][:] = np.log(table / table.sum(axis=1, keepdims=True))
     return flat
 
 
-def windows(texts: pa.Array, ids: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: pa.Array, ids: np.ndarray | Lexicon, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word ids with padding around every text, the places of the words in them, and the texts' offsets."""
     hashes, offsets = word_hashes(texts, powers)
-    words = ids[(hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)]
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    by_hash = isinstance(ids, np.ndarray)
+    words = ids[(hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)] if by_hash else ids.look(hashes)[0]
+    return *padding(words, offsets, PAD if by_hash else ids.size), offsets
+
+
+def padding(words: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     places = np.arange(len(words)) + 2 * (row + 1)
-    padded = np.full(len(words) + 2 * (len(texts) + 1), PAD, dtype=np.uint16)
+    padded = np.full(len(words) + 2 * len(offsets), pad, dtype=words.dtype)
     padded[places] = words
-    return padded, places, offsets
+    return padded, places
 
 
 def picked(x: np.ndarray, which: np.ndarray, backward: bool) -> tuple[np.ndarray, np.ndarray | None]:
@@ -105,16 +207,17 @@ def forward(v: dict, padded: np.ndarray, places: np.ndarray, backward: bool = Fa
     hidden += v["bias"]
     np.tanh(hidden, out=hidden)
     word = padded[places]
-    own, member = (word % CLASSES).astype(np.uint8), word // CLASSES
+    classes = len(v["class_bias"])
+    own, member = (word % classes).astype(np.uint8 if classes <= 256 else np.uint16), word // classes
     found, error = picked(hidden @ v["classes"] + v["class_bias"], own, backward)
     # Words of one class lie together, so each class is one product.
     order = np.argsort(own, kind="stable")
     some, which = hidden.take(order, axis=0), member.take(order)
-    ends = np.cumsum(np.bincount(own, minlength=CLASSES))
+    ends = np.cumsum(np.bincount(own, minlength=classes))
     inside = np.empty(len(places), dtype=hidden.dtype)
     slope = np.empty_like(hidden) if backward else None
-    grads = {name: np.zeros(SHAPES[name], np.float32) for name in ("words", "word_bias")} if backward else {}
-    for k in range(CLASSES):
+    grads = {name: np.zeros(v[name].shape, np.float32) for name in ("words", "word_bias")} if backward else {}
+    for k in range(classes):
         rows = slice(ends[k - 1] if k else 0, ends[k])
         if rows.start == rows.stop:
             continue
@@ -151,18 +254,20 @@ def step(v: dict, seen: dict, padded: np.ndarray, places: np.ndarray) -> None:
         v["inputs"][o][rows] -= RATE * g / np.sqrt(seen["inputs"][o][rows])
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(ids by hash, parameters) from all texts. In every round each task trains the shared parameters on its own
-    texts, once and in their order; the results are averaged by words seen. Only parameters leave a task."""
-    ids, counts = vocabulary(count_words(df, text))
-    flat = start(counts)
+def train(df: DataFrame, text: str = "text", rounds: int = 1) -> tuple[Lexicon, np.ndarray, DataFrame | None]:
+    """(lexicon, parameters, counts of words that it does not list) from all texts. In every round each task trains the
+    shared parameters on its own texts, once and in their order; the results are averaged by words seen. Only counts
+    and parameters leave a task."""
+    known, counts, rest = lexicon(stage(count_words(df, text), "words"))
+    flat = start(counts, known.classes)
     spark = df.sparkSession
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((ids, flat))
+        shared = spark.sparkContext.broadcast((known, flat))
 
         def fit(batches, shared=shared):
             known, mine = shared.value[0], shared.value[1].copy()
-            v, seen = views(mine), {n: np.full(s, 1e-6, np.float32) for n, s in SHAPES.items()}
+            v = views(mine, known.classes, known.members)
+            seen = {n: np.full(x.shape, 1e-6, np.float32) for n, x in v.items()}
             powers, words, part = Powers(), 0, None
             for batch in batches:
                 part = batch.column("part")[0].as_py() if batch.num_rows else part
@@ -172,39 +277,68 @@ def train(df: DataFrame, text: str = "text", rounds: int = 1) -> tuple[np.ndarra
                         step(v, seen, padded, places[at : at + BATCH])
                     words += len(places)
             if words:
-                yield folds.packed(part, np.append(mine.astype(np.float64) * words, words))
+                mine *= np.float32(words)
+                yield folds.packed(part, np.append(mine, np.float32(words)))
 
-        sums = folds.total(folds.numbered(df, text).mapInArrow(fit, folds.SCHEMA), np.float64, SIZE + 1)
-        flat = (sums[:-1] / sums[-1]).astype(np.float32) if sums[-1] else flat
-    return ids, flat
+        sums = folds.total(folds.numbered(df, text).mapInArrow(fit, folds.SCHEMA), np.float32, len(flat) + 1)
+        flat = sums[:-1] / sums[-1] if sums[-1] else flat
+    return known, flat, rest
 
 
-def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+def score(df: DataFrame, model: tuple, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """Add `n_words`, `log_likelihood` (sum over all words of the whole text of log P(word | both sides)) and
-    `mean_log_likelihood` (null without words). Only texts go to Python, slice by slice; no exchange.
+    `mean_log_likelihood` (null without words) to the `columns` (all, if not given). P of a rare word is that of its
+    shared id times its own share there. Only texts go to Python, slice by slice. Rare words that the lexicon does not
+    list meet their counts by an exchange of (row, word); otherwise there is none.
 
     Null and empty texts have 0 words and a sum of 0; repeated rows get equal scores; an empty table gives an empty
     one. Columns named like the added ones are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    known, flat, rest = (*model, None)[:3]
+    shared, ask = df.sparkSession.sparkContext.broadcast((known, flat)), rest is not None
 
-    @F.arrow_udf("struct<n_words:bigint,log_likelihood:double>")
+    @F.arrow_udf("struct<n_words:bigint,log_likelihood:double,unlisted:array<bigint>>")
     def rate(texts: pa.Array) -> pa.Array:
-        ids, v, powers = shared.value[0], views(shared.value[1]), Powers()
-        counts, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        (ids, flat), powers = shared.value, Powers()
+        listed = not isinstance(ids, np.ndarray)
+        v = views(flat, ids.classes, ids.members) if listed else views(flat)
+        counts, sums, left, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for rows in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-            padded, places, offsets = windows(rows.column("text"), ids, powers)
-            found = [forward(v, padded, places[at : at + 8 * BATCH]) for at in range(0, len(places), 8 * BATCH)]
-            before = np.concatenate([[0.0], np.cumsum(np.concatenate([np.zeros(0), *found]), dtype=np.float64)])
+            if listed:
+                hashes, offsets = word_hashes(rows.column("text"), powers)
+                words, at = ids.look(hashes)
+                padded, places = padding(words, offsets, ids.size)
+            else:
+                padded, places, offsets = windows(rows.column("text"), ids, powers)
+            found = [forward(v, padded, places[at_ : at_ + 8 * BATCH]) for at_ in range(0, len(places), 8 * BATCH)]
+            each = np.concatenate([np.zeros(0), *found])
+            if listed:
+                each += ids.shares(words, at)
+            before = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
             counts.append(np.diff(offsets))
             sums.append(before[offsets[1:]] - before[offsets[:-1]])
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums))], ["n_words", "log_likelihood"])
-
-    rated = df.drop("n_words", "log_likelihood", "mean_log_likelihood").withColumn("_rated", rate(F.col(text)))
-    mean = F.when(F.col("_rated.n_words") > 0, F.col("_rated.log_likelihood") / F.col("_rated.n_words"))
-    return rated.select("*", "_rated.*", mean.alias("mean_log_likelihood")).drop("_rated")
+            missing = np.flatnonzero(at < 0) if ask else np.zeros(0, np.int64)
+            ends.append(ends[-1][-1] + np.searchsorted(missing, offsets[1:]))
+            left.append(hashes[missing].view(np.int64) if ask else missing)
+        unlisted = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(left)))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums)), unlisted], ["n_words", "log_likelihood", "unlisted"])
+
+    names = [c for c in columns or df.columns if c not in ("n_words", "log_likelihood", "mean_log_likelihood")]
+    rated = df.withColumn("_rated", rate(F.col(text))).select(*names, "_rated")
+    total = F.col("_rated.log_likelihood")
+    if ask:
+        rated = stage(rated.withColumn("_row", F.monotonically_increasing_id()), "rated")
+        words = rated.select("_row", F.explode("_rated.unlisted").alias("word"))
+        # Logarithms are summed as whole numbers, so the order of the rows does not matter.
+        log = F.round(F.log("n") * F.lit(float(1 << 40))).cast("bigint")
+        more = words.join(rest, "word").groupBy("_row").agg((F.sum(log) / F.lit(float(1 << 40))).alias("_more"))
+        rated = rated.join(more, "_row", "left")
+        total = total + F.coalesce("_more", F.lit(0.0))
+    done = rated.select(*names, F.col("_rated.n_words").alias("n_words"), total.alias("log_likelihood"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return done.withColumn("mean_log_likelihood", mean)
 
 
 def likelihood_query(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "text")
-    return score(rows, train(rows)).drop("text")
+    return score(rows, train(rows), columns=["doc_id"])
