@@ -38,3 +38,9 @@ def test_few_rows_repeats_and_large_values(spark):
     big = [(0, [1e6, 1.0]), (1, [1e6, 0.0]), (2, [1e6, 1.0])]
     got = [(r.vec_id, r.score) for r in topk.top_k_query(spark.createDataFrame(big, schema)).orderBy("rank").collect()]
     assert got == [(2, 64_000_000**2 + 64 * 64), (1, 64_000_000**2)]
+
+
+def test_each_vector_of_a_query_id_is_searched_with(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    got = [tuple(r) for r in topk.top_k_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 3 * 4096), (0, 2, 1, 2 * 4096), (0, 3, 1, 0), (0, 4, 2, 0)]

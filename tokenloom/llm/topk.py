@@ -79,11 +79,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, query_block: int = Q
     Both tables hold (id long, vector array<long>). Rows and queries are dealt into blocks of bounded size; every
     pair of blocks is one bounded task that returns k rows a query at most, and those are ranked per query.
     A row with the query's own id is no candidate; repeated rows are candidates each; a repeated query counts
-    once; a null id takes no part. Vectors of unequal width meet as if filled up with zeros. Empty tables give
+    once, and of several vectors of one id each is searched with, their results ranked together; a null id takes no part. Vectors of unequal width meet as if filled up with zeros. Empty tables give
     no rows.
     """
     rows = rows.where("id is not null and vector is not null")
-    queries = queries.where("id is not null and vector is not null").dropDuplicates(["id"])
+    queries = queries.where("id is not null and vector is not null").dropDuplicates(["id", "vector"])
     row_blocks = max(1, -(-rows.count() // row_block))
     query_blocks = max(1, -(-queries.count() // query_block))
     number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
