@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import bpe, digests, licenses, likelihood, neardup, packs, quality, secrets, shards, topk
+from tokenloom.llm import alignment, bpe, digests, licenses, likelihood, neardup, packs, quality, secrets, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.likelihood_query(table(spark, sf_dir, "documents"))
 
 
+def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ordinal_quality": (op1_ordinal_quality, None),
     "op2_weighted_minhash": (op2_weighted_minhash, None),
@@ -64,4 +68,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_bpe_automaton": (op8_bpe_automaton, None),
     "op9_quartile_digest": (op9_quartile_digest, digests.SQL),
     "op10_pseudo_likelihood": (op10_pseudo_likelihood, None),
+    "op11_interval_alignment": (op11_interval_alignment, None),
 }
