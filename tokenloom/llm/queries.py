@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tokenloom.llm import alignment, bpe, digests, licenses, likelihood, neardup, packs, quality, secrets, shards, topk
+from tokenloom.llm import alignment, bpe, digests, factors, licenses, likelihood, neardup, negatives, packs, quality, secrets, shards, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,14 @@ def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_relative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negative_query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_ordinal_quality": (op1_ordinal_quality, None),
     "op2_weighted_minhash": (op2_weighted_minhash, None),
@@ -69,4 +77,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_quartile_digest": (op9_quartile_digest, digests.SQL),
     "op10_pseudo_likelihood": (op10_pseudo_likelihood, None),
     "op11_interval_alignment": (op11_interval_alignment, None),
+    "op12_relative_factors": (op12_relative_factors, factors.SQL),
+    "op13_hilbert_negatives": (op13_hilbert_negatives, negatives.SQL),
 }

@@ -37,17 +37,18 @@ class Powers:
         return self.up, self.down
 
 
-def word_hashes(texts: pa.Array, powers: Powers, heads: tuple[int, ...] = ()) -> tuple:
-    """Hash of every word (lower case, without punctuation) in reading order, and the n + 1 offsets of the texts'
+def word_hashes(texts: pa.Array, powers: Powers, heads: tuple[int, ...] = (), kinds: np.ndarray = WORD, lower: bool = True) -> tuple:
+    """Hash of every word (runs of the bytes in `kinds`, in lower case if `lower`) in reading order, and the n + 1 offsets of the texts'
     words. A word's hash is a polynomial of its bytes, found as a difference of running sums. For each length in
     `heads`, also the hashes of the beginnings of that many bytes, and the words (by number) that are longer."""
-    data, offsets = flat(pc.utf8_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    data, offsets = flat(pc.utf8_lower(texts) if lower else texts)
     n = len(data)
     if not n:
         nothing = np.zeros(0, dtype=np.uint64)
         return (nothing, np.zeros(len(texts) + 1, dtype=np.int64), *[(nothing, np.zeros(0, dtype=np.int64))] * len(heads))
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = WORD[data]
+    inside[1:-1] = kinds[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (edge[:-1] | ~inside[:-2]))
