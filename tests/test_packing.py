@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators import metrics, order, packing
+from tokenloom.operators import cutter, metrics, order, packing
 from tokenloom.operators.prefix import number_rows
 from tokenloom.sources.records import write_blocks
 
@@ -149,17 +149,45 @@ def test_counts_and_progress(spark):
     assert {(r.epoch, r.batch_id): (r.num_instruction, r.total_tokens) for r in steps.collect()} == expected
 
 
-def test_wide_exchange_runs_once(spark, tmp_path):
+def test_arrays_are_exchanged_and_sorted_once(spark, tmp_path):
     rows = examples(9, 100)
     packing.with_token_count(spark.createDataFrame(rows, SCHEMA)).write.parquet(f"{tmp_path}/t")
     df = order.assign_shards(order.order_epochs(spark.read.parquet(f"{tmp_path}/t")), 1)
     blocks = packing.pack(df, L, B)
     blocks.collect()
     plan = blocks._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("REPARTITION_BY_COL") == final.count("Sort [slot") == final.count("MapInArrow") == 1, plan
+    assert "BroadcastHashJoin" in plan and "Union" not in plan
     assert "ReadSchema: struct<id:bigint,n_tokens:bigint>" in plan
 
 
+@pytest.mark.parametrize("held", [1, 200])
+def test_runs_hand_over_open_batches(spark, monkeypatch, held):
+    """Small runs and buffers: batches reach over several cells and runs, with empty examples at the borders."""
+    rows = examples(11, 900)
+    monkeypatch.setattr(cutter, "HELD", held)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = order.assign_shards(order.order_epochs(spark.createDataFrame(rows, SCHEMA)), 1)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        for block, batch in ((1, 1), (2, 2), (5, 3), (64, 8), (10_000, 1)):
+            want = [(0, 0, c, k, t, l) for c, k, t, l in sequential(rows, block=block, batch=batch)[0]]
+            assert packed(df, block=block, batch=batch) == want
+            tail = packed(df, block=block, batch=batch, drop_tail=False)
+            assert tail[: len(want)] == want
+            done, waiting, rest = sequential(rows, block=block, batch=batch)
+            assert [t for *_, t, _ in tail[len(want) :]] == [t for _, t, _ in waiting] + [rest] * bool(rest)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_empty_streams(spark):
+    for rows in ([], [(1, [], 0), (2, None, None)]):
+        df = order.assign_shards(order.order_epochs(spark.createDataFrame(rows, SCHEMA)), 1)
+        assert packed(df) == packed(df, drop_tail=False) == []
+
+
 def test_stats_sum_up(spark):
     rows = examples(10, 250)
     df = order.assign_shards(order.order_epochs(spark.createDataFrame(rows, SCHEMA)), 1)

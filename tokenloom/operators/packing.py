@@ -2,23 +2,27 @@
 
 Data flow for one pass over the wide token arrays:
 
-1. A narrow aggregate totals rows and tokens per key bucket; its table gives bucket starts.
-2. One exchange by (epoch, shard, bucket) brings the arrays of a bucket together; a window in key
-   order gives each example its offset in the stream.
-3. Examples are cut into pieces per batch. Batches that lie inside one bucket are put together
-   where they are, with no further exchange. Only batches that cross a bucket border, at most two
-   per bucket, are exchanged again.
+1. A narrow aggregate totals rows and tokens of every cell (a prefix of the shuffle key); windows over this small table
+   give each cell its place in the stream, and join neighbouring cells into runs of about equal tokens.
+2. One exchange and one sort bring the examples of a run together. The cells that a run needs to complete its last
+   batch are sent to it as well as to their own run.
+3. One Arrow pass over the sorted rows cuts them into blocks (`cutter`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tokenloom.constants import BATCH_SIZE, IGNORE_LABEL, MAX_LENGTH
+from tokenloom.operators.cutter import INPUT, SCHEMA, cutter
 from tokenloom.operators.order import key_bucket, key_digits
 from tokenloom.operators.prefix import running_totals
 
 STREAM = ["epoch", "shard"]
+#: Cells of all streams together, so that their table can be broadcast (about 100 MB in memory).
+MOST_CELLS = 1 << 20
 
 
 def record_defaults(df: DataFrame) -> DataFrame:
@@ -157,18 +161,55 @@ def pack(
     Examples may straddle blocks. The incomplete last batch of a stream is dropped unless
     `drop_tail=False`. With `batch_size=1` every complete block is kept.
     """
-    span = max_length * batch_size
-    offsets = pack_offsets(record_defaults(df), streams)
+    rows = with_token_count(record_defaults(df))
+    digits = cell_digits(rows, streams)
+    keyed = rows.withColumn("cell", key_bucket("order_key", digits))
+    cells = run_cells(keyed, max_length * batch_size, streams)
+    # The number of cells is bounded by their digits; with more streams than that the join is Spark's choice.
+    cells = F.broadcast(cells) if streams * 16**digits <= MOST_CELLS else cells
+    placed = keyed.join(cells, [*STREAM, "cell"]).withColumn("bucket", F.explode("runs"))
+    sent = placed.select(
+        *[F.col(c).cast("int") for c in STREAM], "bucket", "cell", "cell_start", "cell_rows",
+        (F.col("bucket") == F.col("own_run")).alias("own"), "n_tokens", "input_ids", F.col("prompt_length").cast("bigint").alias("prompt_length"),
+        F.xxhash64(*STREAM, "bucket").alias("slot"), "order_key",
+    )
+    ordered = sent.repartition("slot").sortWithinPartitions("slot", *STREAM, "bucket", "order_key")
+    return ordered.select(*INPUT).mapInArrow(cutter(max_length, batch_size, drop_tail), SCHEMA)
 
-    begins = (F.col("bucket_start") < F.col("batch_id") * span) | (
-        (F.col("batch_id") == 0) & (F.col("bucket_start") == 0)
-    )
-    inside = begins & (F.col("bucket_end") >= (F.col("batch_id") + 1) * span)
-    whole = gather(pieces_of(offsets, [*STREAM, "key_bucket"], span, keep=inside), [*STREAM, "key_bucket"])
-    whole = whole.drop("key_bucket")
-    border = gather(pieces_of(offsets, STREAM, span, keep=~inside), STREAM)
-    border = border.where(F.col("n_tokens") == span if drop_tail else F.col("n_tokens") > 0)
-    return blocks_of(whole.unionByName(border), STREAM, max_length, batch_size)
+
+def cell_digits(df: DataFrame, streams: int) -> int:
+    """Hex digits of the shuffle key that name a cell: about 256 cells per shuffle task, MOST_CELLS in all."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = math.ceil(math.log(max(256 * tasks / max(streams, 1), 16), 16))
+    return max(1, min(wanted, int(math.log(max(MOST_CELLS / max(streams, 1), 16), 16) + 1e-9)))
+
+
+def run_cells(keyed: DataFrame, span: int, streams: int) -> DataFrame:
+    """One row per cell with tokens: where it starts (`cell_start` tokens and `cell_rows` examples before it), the run it
+    belongs to (`own_run`), and the `runs` that need its examples.
+
+    Runs are stretches of equal length in the stream, of eight batches at least and about 16 for each task. A batch
+    belongs to the run of the token before it. A cell is needed by its own run if such a token lies in it or before
+    it in the run, and by the run of the batch that is open where the cell starts.
+    """
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = Window.partitionBy(*STREAM).orderBy("cell")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(*STREAM, "cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"))
+    nothing = F.lit(0).cast("bigint")
+    placed = sums.select(
+        *STREAM, "cell", "tokens",
+        F.coalesce(F.sum("tokens").over(before), nothing).alias("cell_start"),
+        F.coalesce(F.sum("rows").over(before), nothing).alias("cell_rows"),
+        F.sum("tokens").over(Window.partitionBy(*STREAM)).alias("total"),
+    ).where("tokens > 0")
+    runs = max(1, 16 * tasks // max(streams, 1))
+    own = placed.withColumn("own_run", F.expr(f"cell_start div greatest({8 * span}, total div {runs} + 1)"))
+    marked = own.withColumn("mark", F.expr(f"cell_start = 0 or (cell_start + tokens) div {span} > cell_start div {span}"))
+    opened = marked.withColumn("open_run", F.last(F.when(F.col("mark"), F.col("own_run")), ignorenulls=True).over(before))
+    here = F.col("mark") | F.coalesce(F.col("open_run") == F.col("own_run"), F.lit(False))
+    needed = F.array(F.when(here, F.col("own_run")), F.when(F.col("open_run") != F.col("own_run"), F.col("open_run")))
+    return opened.select(*STREAM, "cell", "cell_start", "cell_rows", "own_run", F.filter(needed, lambda x: x.isNotNull()).alias("runs"))
 
 
 def batch_counts(
