@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tokenloom.operators.prefix import number_rows
+from tokenloom.operators.prefix import number_rows, running_totals
+from tokenloom.sources.workspace import stage
 
 RAW_SCHEMA = T.StructType(
     [
@@ -13,6 +14,8 @@ RAW_SCHEMA = T.StructType(
         T.StructField("output", T.StringType()),
     ]
 )
+#: Copies of repeated records whose numbers are broadcast (16 bytes each).
+MOST_COPIES = 1 << 20
 TOKENIZED_SCHEMA = T.StructType(
     [
         T.StructField("input_ids", T.ArrayType(T.LongType())),
@@ -34,8 +37,8 @@ def read_records(
     `recursive` takes every nested folder; otherwise only the files directly in `path` are read. A `path` that is
     a file is read under any name; `glob` picks files in folders only. The schema is given, so no inference pass
     runs; fields missing from a record are null. A broken line is an error unless `mode` says otherwise
-    ("DROPMALFORMED" leaves it out, "PERMISSIVE" makes it a record of nulls). A schema without `id` gets one by
-    `with_record_ids`.
+    ("DROPMALFORMED" leaves it out, "PERMISSIVE" makes it a record of nulls, `split_records` keeps it in a table
+    of its own). A schema without `id` gets one by `with_record_ids`.
     """
     reader = spark.read.schema(schema).option("mode", mode)
     if recursive:
@@ -56,30 +59,77 @@ def is_file(spark: SparkSession, path: str) -> bool:
 def with_record_ids(table: DataFrame) -> DataFrame:
     """Add `id`, a 64-bit hash of a record's content and of its number among equal records.
 
-    Ids follow from what the files hold, whatever their number, order and splits. Equal records are numbered in
-    two levels, first within each task's own, so many copies of one record do not meet in one task.
+    Ids follow from what the files hold, whatever their number, order and splits. The records are parsed once, into a
+    stage table, and stay where they are: hashes alone are exchanged to find records that occur more than once, and
+    only their copies are numbered, in two levels, so many copies of one record do not meet in one task. A
+    table of copies of at most MOST_COPIES rows is broadcast to the records; a larger one is joined by row.
     """
     content = F.to_json(F.struct(*table.columns))
-    keyed = table.withColumns({"_content": F.xxhash64(content), "_again": F.xxhash64(F.lit("again"), content), "_part": F.spark_partition_id()})
-    numbered = number_rows(keyed, ["_content", "_again"], ["_part"], [F.lit(0)], "_copy")
-    return numbered.withColumn("id", F.xxhash64("_content", "_again", "_copy")).drop("_content", "_again", "_part", "_copy")
+    hashed = table.withColumns({"_content": F.xxhash64(content), "_again": F.xxhash64(F.lit("again"), content), "_row": F.monotonically_increasing_id()})
+    return numbered_records(stage(hashed, "records"))
+
+
+def numbered_records(staged: DataFrame) -> DataFrame:
+    same = ["_content", "_again"]
+    hashes = staged.select(*same, "_row")
+    repeated = hashes.groupBy(*same).count().where("count > 1").drop("count")
+    again = hashes.join(repeated, same, "left_semi").withColumn("_part", F.shiftright("_row", 33))
+    copies = stage(number_rows(again, same, ["_part"], ["_row"], "_copy").where("_copy > 1").select("_row", "_copy"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= MOST_COPIES else copies
+    numbered = staged.join(copies, "_row", "left")
+    return numbered.withColumn("id", F.xxhash64(*same, F.coalesce("_copy", F.lit(1).cast("bigint")))).drop(*same, "_row", "_copy")
+
+
+def split_records(
+    spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, recursive: bool = True, glob: str = "*.jsonl"
+) -> tuple[DataFrame, DataFrame]:
+    """(records, broken): the records of all lines that fit the schema, as `read_records` gives them, and the lines that do
+    not as `file, offset, line`, where `offset` is the byte at which the line starts.
+
+    Lines are parsed once, into a stage table that both results read. Offsets are running sums over line lengths, per split and
+    over the splits of a file, only for files that hold a broken line. Blank lines are neither.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", True)
+    if not is_file(spark, path):
+        reader = reader.option("pathGlobFilter", glob)
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    fields = [F.col(f"_record.{f}").alias(f) for f in schema.fieldNames()]
+    content = F.to_json(F.struct(*schema.fieldNames()))
+    staged = (
+        lines.withColumns({"_record": parsed, "_size": F.octet_length("value") + 1, "_row": F.monotonically_increasing_id()})
+        .select(*fields, "_record._broken", F.trim(F.col("value")) == "", "_file", "_block", "_size", "_row")
+        .toDF(*schema.fieldNames(), "_broken", "_blank", "_file", "_block", "_size", "_row")
+        .withColumns({"_content": F.xxhash64(content), "_again": F.xxhash64(F.lit("again"), content)})
+    )
+    staged = stage(staged, "lines")
+    good = staged.where("_broken is null and not _blank").drop("_broken", "_blank", "_file", "_block", "_size")
+    records = good.drop("_content", "_again", "_row") if "id" in schema.fieldNames() else numbered_records(good)
+    faults = staged.where("_broken is not null and not _blank").select("_file", "_block", "_row", F.col("_broken").alias("line"))
+    sizes = staged.select("_file", "_block", "_row", "_size").join(faults.select("_file").distinct(), "_file", "left_semi")
+    placed = running_totals(sizes, ["_file"], ["_block"], ["_row"], {"end": F.col("_size").cast("bigint")})
+    broken = faults.join(placed, ["_file", "_block", "_row"]).select(F.col("_file").alias("file"), (F.col("end") - F.col("_size")).alias("offset"), "line")
+    return records, broken
 
 
 def stream_records(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str,
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = 1,
     glob: str = "*.jsonl",
+    bytes_per_trigger: int | None = None,
 ) -> DataFrame:
-    """The same files as a stream; `files_per_trigger` bounds what one micro-batch takes in."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True)
-        .json(path)
-    )
+    """The same files as a stream. What one micro-batch takes in is bounded by `bytes_per_trigger` if given (files whose
+    sizes stay within it, and one at least), else by `files_per_trigger`. A bound by tokens: `streaming.epochs`."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
+    if bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    elif files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.json(path)
 
 
 def write_tokenized(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
