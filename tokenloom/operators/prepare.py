@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 
 from tokenloom.constants import END_OF_TEXT, END_OF_TEXT_ID, MAX_LENGTH, VOCAB_SIZE
 from tokenloom.functions.text import HashEncoder, clean
-from tokenloom.operators.vocab import vocab_encode
+from tokenloom.operators.vocab import vocab_encode, vocab_length
 
 
 def compose(df: DataFrame, end_text: str = END_OF_TEXT) -> DataFrame:
@@ -70,7 +70,7 @@ def tokenize_with_vocab(
     coded = vocab_encode(composed, "text", vocab, "encoded", max_vocab)
     ended = F.concat("encoded", F.array(F.lit(end_id).cast("bigint")))
     truncated = coded.withColumn("encoded", F.slice(ended, 1, max_length))
-    return _finish(truncated, HashEncoder().count(F.col("prompt")), max_length, observation)
+    return _finish(truncated, vocab_length(F.col("prompt")), max_length, observation)
 
 
 def tokenize_with(

@@ -13,6 +13,7 @@ from tokenloom.functions.ids import is_eos, keep_last, non_pad_mask
 from tokenloom.functions.text import cut_at_terms
 from tokenloom.operators.order import key_bucket, key_digits
 from tokenloom.operators.prefix import number_rows
+from tokenloom.sources.workspace import stage
 
 
 @dataclass(frozen=True)
@@ -55,6 +56,14 @@ def render_chat(
     return ordered.select("conv_id", F.concat(body, F.lit(tail)).alias("prompt"))
 
 
+def as_question(text: Column, template: ChatTemplate = ChatTemplate()) -> Column:
+    """One text as the user's message, with the header that asks for an answer."""
+    return F.concat(
+        F.lit(template.before_role + "user" + template.after_role), F.trim(F.coalesce(text, F.lit(""))),
+        F.lit(template.after_text + template.before_role + template.answer_role + template.after_role),
+    )
+
+
 def add_bos(df: DataFrame, bos: str, column: str = "prompt") -> DataFrame:
     return df.withColumn(column, F.concat(F.lit(bos), column))
 
@@ -73,16 +82,20 @@ def few_shot(
     the draws differ from one another and reach their exemplars by an equi-join on the number; no
     item meets the whole pool. An item never draws itself (same id) while its range offers another.
     A pool of fewer than k exemplars gives every range that is not empty.
+
+    The numbered pool is a stage table, as three steps read it. A small pool is copied under salts until it has rows for
+    every task, so its texts don't meet all items in a few tasks.
     """
     digits = key_digits(exemplars)
     keyed = exemplars.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(str(seed)), "exemplar_id")))
     keyed = keyed.withColumn("key_bucket", key_bucket("order_key", digits))
-    pool = number_rows(keyed, [], ["key_bucket"], ["order_key"]).select(
-        (F.col("ordinal") - 1).alias("slot"), "exemplar_id", "example"
-    )
-    size = exemplars.agg(F.count(F.lit(1))).scalar()
+    numbered = number_rows(keyed, [], ["key_bucket"], ["order_key"])
+    pool = stage(numbered.select((F.col("ordinal") - 1).alias("slot"), "exemplar_id", "example"), "exemplars")
+    size = pool.count()
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-4 * tasks // max(size, 1)))
     draws = (
-        items.select("item_id", size.alias("pool"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("shot"))
+        items.select("item_id", F.lit(size).cast("bigint").alias("pool"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("shot"))
         .withColumns({"low": F.expr(f"shot * pool div {k}"), "high": F.expr(f"(shot + 1) * pool div {k}")})
         .where(F.col("high") > F.col("low"))
     )
@@ -103,8 +116,10 @@ def few_shot(
             + F.when(F.col("low") + F.col("offset") == F.col("own_slot"), (F.col("offset") + 1) % F.col("width"))
             .otherwise(F.col("offset"))
         ).alias("slot"),
+        F.pmod(F.xxhash64("item_id"), F.lit(salts)).cast("int").alias("salt"),
     )
-    chosen = slots.join(pool, "slot").groupBy("item_id").agg(
+    copies = pool.select("slot", "example", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    chosen = slots.join(copies, ["slot", "salt"]).groupBy("item_id").agg(
         F.sort_array(F.collect_list(F.struct("shot", "example"))).alias("shots")
     )
     return items.join(chosen, "item_id", "left").select(

@@ -14,6 +14,7 @@ from tokenloom.operators.prefix import number_rows
 
 SALTS = 16
 RANGES = 4096
+POSITIONS = 1 << 16
 
 
 def confidence(scores: DataFrame) -> DataFrame:
@@ -64,8 +65,8 @@ def pick_high_or_topk(
 
     `k` is a number or names a column constant per group (a quota of `even_quota`, say; null counts as 0).
     With `previous`, a column constant per group, only positions from that length on are looked at. A small
-    number k limits ranks before the exchange; a large or varying one numbers rows in ranges of confidence, so no
-    group is ranked in one task.
+    number k limits ranks before the exchange; a large or varying one numbers rows in ranges of confidence, and of
+    positions where all confidences of a range are equal, so no group is ranked in one task.
     """
     columns = ["seq_id", "pos", "token"]
     open_rows = scored.where(~F.col("filled"))
@@ -93,7 +94,11 @@ def pick_high_or_topk(
     # Falling ranges of confidence; nothing is above 1, and NaN sorts above all numbers.
     falling = F.when(F.isnan("conf"), -1).otherwise(F.floor((F.lit(1.0) - F.col("conf")) * RANGES))
     rows = still_open.withColumn("_range", F.coalesce(falling, F.lit(RANGES + 1)).cast("bigint"))
-    ranked = number_rows(rows, ["seq_id"], ["_range"], [F.desc("conf"), "pos"], "_rank")
+    # A range whose confidences are all the same is cut by position too, so saturated groups are not ranked in one task.
+    whole = rows.groupBy("seq_id", "_range").agg((F.min("conf").eqNullSafe(F.max("conf"))).alias("_even"))
+    met = rows.select("*", _salt()).join(_salted(whole), ["seq_id", "_range", "_salt"]).drop("_salt")
+    placed = met.withColumn("_place", F.when(F.col("_even"), F.floor(F.col("pos") / POSITIONS)).otherwise(0).cast("bigint")).drop("_even")
+    ranked = number_rows(placed, ["seq_id"], ["_range", "_place"], [F.desc("conf"), "pos"], "_rank")
     top = ranked.where(F.col("_rank") <= F.col("_k")).join(many, "seq_id", "left_anti")
     return high.select(columns).unionByName(top.select(columns))
 

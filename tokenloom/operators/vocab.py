@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tokenloom.constants import UNKNOWN_ID, VOCAB_SIZE
 from tokenloom.functions.text import tokens
@@ -72,6 +72,11 @@ class Lookup:
         return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), filled)
 
 
+def vocab_length(text: Column) -> Column:
+    """How many ids `vocab_encode` gives a text: it cuts the text in the same way."""
+    return F.coalesce(F.size(tokens(text)), F.lit(0))
+
+
 def vocab_encode(
     df: DataFrame, text: str, vocab: DataFrame, out: str = "input_ids", max_vocab: int = VOCAB_SIZE
 ) -> DataFrame:
