@@ -11,19 +11,18 @@ from tokenloom.llm.batches import slices
 from tokenloom.llm.words import Powers, word_hashes
 from tokenloom.sources.workspace import stage
 
-#: Words that occur LEAST times have ids of their own, and the FEWEST most frequent at any rate; one id in SHARE, OTHER
-#: at least, is shared by all rarer ones. Of those, about TABLE are broadcast with their counts.
-LEAST, FEWEST, SHARE, TABLE = 1000, 960, 16, 1 << 18
-#: Distinct words that a task counts before it sends them on.
-HELD = 1 << 20
-#: A model of one size, for tables of ids by hash: hashed words, ids, ids that are shared, classes.
-HASH_BITS, VOCABULARY, OTHER, CLASSES, HIDDEN = 16, 1024, 64, 32, 16
-MEMBERS = VOCABULARY // CLASSES
-WINDOW = (-2, -1, 1, 2)
+#: Ids of their own have the FEWEST most frequent words in a corpus of up to FIRST running words, and as many more as the
+#: fourth root of its size tells beyond. One id in SHARE, OTHER at least, is shared by all rarer words; the TABLE most
+#: frequent of these are broadcast with their counts.
+FEWEST, FIRST, SHARE, OTHER, TABLE = 960, 1 << 24, 16, 64, 1 << 16
+#: Distinct words that a task counts before it sends them on; running words of a training group, about.
+HELD, GROUP = 1 << 20, 1 << 20
+HIDDEN, WINDOW = 16, (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.1
-PAD = VOCABULARY
-#: Parameters by name, in the order in which they lie in one flat array.
-def shapes(classes: int = CLASSES, members: int = MEMBERS) -> dict[str, tuple[int, ...]]:
+
+
+def shapes(classes: int, members: int) -> dict[str, tuple[int, ...]]:
+    """Parameters by name, in the order in which they lie in one flat array."""
     return {
         "inputs": (len(WINDOW), classes * members + 1, HIDDEN),
         "bias": (HIDDEN,),
@@ -34,7 +33,7 @@ def shapes(classes: int = CLASSES, members: int = MEMBERS) -> dict[str, tuple[in
     }
 
 
-def views(flat: np.ndarray, classes: int = CLASSES, members: int = MEMBERS) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray, classes: int, members: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, shape in shapes(classes, members).items():
         size = int(np.prod(shape))
@@ -86,19 +85,26 @@ class Lexicon:
         self.own, self.classes = own, max(1, round(least**0.5))
         self.members = -(-least // self.classes)
         self.size, self.shared = self.classes * self.members, self.classes * self.members - own
-        by_count = np.lexsort((hashes, -counts))
+        by_count = np.lexsort((hashes.view(np.int64), -counts))
         order = np.argsort(hashes[by_count])
-        self.hashes, self.counts, self.first = hashes[by_count][order], counts[by_count[:own]], None
+        self.hashes, self.counts = hashes[by_count][order], counts[by_count[:own]]
         number = np.arange(len(hashes))[order]
-        self.ids = np.where(number < own, number, own + self.hashes.view(np.int64) % self.shared).astype(np.uint16 if self.size < 1 << 16 else np.uint32)
+        ids = np.where(number < own, number, own + self.hashes.view(np.int64) % self.shared)
+        self.ids = ids.astype(np.uint16 if self.size < 1 << 16 else np.uint32)
         self.weight = np.where(number < own, 0.0, np.log(np.maximum(counts[by_count][order], 1))).astype(np.float64)
         self.totals = np.zeros(self.shared, dtype=np.int64)
         self.bits = max(4, (4 * len(hashes)).bit_length())
+        self.first = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    @classmethod
+    def of(cls, state: dict) -> Lexicon:
+        """The lexicon again from its `vars`, the plain arrays and numbers that are broadcast."""
+        found = cls.__new__(cls)
+        found.__dict__.update(state)
+        return found
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each hash among the listed ones, or -1."""
-        if self.first is None:
-            self.first = np.searchsorted(self.hashes >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         at, found = self.first[bucket], np.full(len(hashes), -1, dtype=np.int32)
         open_ = np.flatnonzero(at < self.first[bucket + 1])
@@ -128,35 +134,32 @@ class Lexicon:
         return out
 
 
-def lexicon(counts: DataFrame) -> tuple[Lexicon, np.ndarray, DataFrame | None]:
-    """The lexicon of a corpus from its (word, n), counts by id, and the words that occur more than once but are too many
-    to be listed (none: no table). Words reach the driver down to the least count at which about TABLE rare ones do."""
-    levels = dict(counts.where("n > 1").groupBy(F.least("n", F.lit(LEAST)).alias("n")).count().collect())
-    listed, cut = 0, LEAST
-    while cut > 2 and listed + levels.get(cut - 1, 0) <= TABLE:
-        cut -= 1
-        listed += levels.get(cut, 0)
-    some = counts.where(F.col("n") >= cut).toArrow().combine_chunks()
-    column = lambda name: np.concatenate([np.zeros(0, np.int64), *[c.to_numpy() for c in some.column(name).chunks]])
-    found = Lexicon(column("word").view(np.uint64), column("n"), max(levels.get(LEAST, 0), min(FEWEST, some.num_rows)))
-    shared = F.pmod("word", F.lit(found.shared))
-    for at, n in counts.groupBy(shared.alias("at")).agg(F.sum("n")).collect():
-        found.totals[at] = n
-    top = found.hashes[found.ids < found.own]
-    np.subtract.at(found.totals, top.view(np.int64) % found.shared, found.counts[found.ids[found.ids < found.own]])
-    more = any(n for level, n in levels.items() if level < cut)
-    return found, np.concatenate([found.counts, found.totals]), counts.where((F.col("n") > 1) & (F.col("n") < cut)) if more else None
-
-
-def vocabulary(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word id of every hash (the most frequent have their own, the others share OTHER), and counts by id."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    ids = (VOCABULARY - OTHER + np.arange(len(counts)) % OTHER).astype(np.uint16)
-    ids[order[: VOCABULARY - OTHER]] = np.arange(VOCABULARY - OTHER)
-    return ids, np.bincount(ids, weights=counts, minlength=VOCABULARY)
+def own_ids(running: int) -> int:
+    """How many words have ids of their own in a corpus of so many running words."""
+    return int(FEWEST * max(1.0, running / FIRST) ** 0.25)
 
 
-def start(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def lexicon(counts: DataFrame) -> tuple[Lexicon, np.ndarray, DataFrame, int]:
+    """The lexicon of a corpus from its (word, n), counts by id, a table of the words that occur more than once but are not
+    listed, and the number of running words. The driver gets the words with ids of their own and TABLE rare ones."""
+    running = counts.agg(F.sum("n")).first()[0] or 0
+    own = own_ids(running)
+    some = counts.orderBy(F.desc("n"), "word").limit(own + TABLE).toArrow().combine_chunks()
+    column = lambda name: np.concatenate([np.zeros(0, np.int64), *[c.to_numpy() for c in some.column(name).chunks]])
+    words, n = column("word"), column("n")
+    least = int(n.min(initial=1 << 62))
+    after = int(words[n == least].max()) if len(words) else 0
+    order = np.lexsort((words, -n))
+    found = Lexicon(words[order].view(np.uint64), n[order], min(own, len(words)))
+    for at, total in counts.groupBy(F.pmod("word", F.lit(found.shared))).agg(F.sum("n")).collect():
+        found.totals[at] = total
+    top = found.ids < found.own
+    np.subtract.at(found.totals, found.hashes[top].view(np.int64) % found.shared, found.counts[found.ids[top]])
+    rest = counts.where((F.col("n") > 1) & ((F.col("n") < least) | (F.col("n") == least) & (F.col("word") > after)))
+    return found, np.concatenate([found.counts, found.totals]), rest, running
+
+
+def start(counts: np.ndarray, classes: int) -> np.ndarray:
     """Small random weights, and biases that alone give each word its share of the corpus."""
     members = len(counts) // classes
     size = sum(int(np.prod(s)) for s in shapes(classes, members).values())
@@ -168,15 +171,8 @@ def start(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     return flat
 
 
-def windows(texts: pa.Array, ids: np.ndarray | Lexicon, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids with padding around every text, the places of the words in them, and the texts' offsets."""
-    hashes, offsets = word_hashes(texts, powers)
-    by_hash = isinstance(ids, np.ndarray)
-    words = ids[(hashes >> np.uint64(64 - HASH_BITS)).astype(np.int64)] if by_hash else ids.look(hashes)[0]
-    return *padding(words, offsets, PAD if by_hash else ids.size), offsets
-
-
 def padding(words: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids with padding around every text, and the places of the words in them."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     places = np.arange(len(words)) + 2 * (row + 1)
     padded = np.full(len(words) + 2 * len(offsets), pad, dtype=words.dtype)
@@ -198,8 +194,9 @@ def picked(x: np.ndarray, which: np.ndarray, backward: bool) -> tuple[np.ndarray
 
 
 def forward(v: dict, padded: np.ndarray, places: np.ndarray, backward: bool = False):
-    """log P(word | both sides) at the places: a class is predicted from the hidden layer, then a word of that
-    class. With `backward`, also the gradients of the negative sum."""
+    """log P(word | both sides) at the places: a class is predicted from the hidden layer, then a word of that class.
+    With `backward`, also the gradients of the negative sum: of whole parameters by name, of the words of the
+    classes that occur (by class), of the hidden layer, and the ids around each place."""
     around = [padded[places + o] for o in WINDOW]
     hidden = v["inputs"][0].take(around[0], axis=0)
     for table, near in zip(v["inputs"][1:], around[1:], strict=True):
@@ -216,34 +213,41 @@ def forward(v: dict, padded: np.ndarray, places: np.ndarray, backward: bool = Fa
     ends = np.cumsum(np.bincount(own, minlength=classes))
     inside = np.empty(len(places), dtype=hidden.dtype)
     slope = np.empty_like(hidden) if backward else None
-    grads = {name: np.zeros(v[name].shape, np.float32) for name in ("words", "word_bias")} if backward else {}
+    touched: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k in range(classes):
         rows = slice(ends[k - 1] if k else 0, ends[k])
         if rows.start == rows.stop:
             continue
         inside[rows], wrong = picked(some[rows] @ v["words"][k] + v["word_bias"][k], which[rows], backward)
         if backward:
-            grads["words"][k], grads["word_bias"][k] = some[rows].T @ wrong, wrong.sum(axis=0)
+            touched[k] = some[rows].T @ wrong, wrong.sum(axis=0)
             np.matmul(wrong, v["words"][k].T, out=slope[rows])
     found[order] += inside
     if not backward:
         return found
-    grads["classes"], grads["class_bias"] = hidden.T @ error, error.sum(axis=0)
+    grads = {"classes": hidden.T @ error, "class_bias": error.sum(axis=0)}
     back = error @ v["classes"].T
     back[order] += slope
     back *= 1 - hidden * hidden
     grads["bias"] = back.sum(axis=0)
-    return found, grads, back, around
+    return found, grads, touched, back, around
 
 
 def step(v: dict, seen: dict, padded: np.ndarray, places: np.ndarray) -> None:
-    """One Adagrad step on the mean loss of a batch of places."""
-    _, grads, slope, around = forward(v, padded, places, backward=True)
+    """One Adagrad step on the mean loss of a batch of places. Only classes and input words that occur are updated."""
+    _, grads, touched, slope, around = forward(v, padded, places, backward=True)
     n = np.float32(len(places))
-    for name, g in grads.items():
+
+    def move(values: np.ndarray, squares: np.ndarray, g: np.ndarray) -> None:
         g = g / n
-        seen[name] += g * g
-        v[name] -= RATE * g / np.sqrt(seen[name])
+        squares += g * g
+        values -= RATE * g / np.sqrt(squares)
+
+    for name, g in grads.items():
+        move(v[name], seen[name], g)
+    for k, (words, bias) in touched.items():
+        move(v["words"][k], seen["words"][k], words)
+        move(v["word_bias"][k], seen["word_bias"][k], bias)
     for o, near in enumerate(around):
         order = np.argsort(near, kind="stable")
         sorted_ids = near[order]
@@ -254,33 +258,45 @@ def step(v: dict, seen: dict, padded: np.ndarray, places: np.ndarray) -> None:
         v["inputs"][o][rows] -= RATE * g / np.sqrt(seen["inputs"][o][rows])
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = 1) -> tuple[Lexicon, np.ndarray, DataFrame | None]:
-    """(lexicon, parameters, counts of words that it does not list) from all texts. In every round each task trains the
-    shared parameters on its own texts, once and in their order; the results are averaged by words seen. Only counts
-    and parameters leave a task."""
-    known, counts, rest = lexicon(stage(count_words(df, text), "words"))
+def train(df: DataFrame, text: str = "text", rounds: int = 1) -> tuple[Lexicon, np.ndarray, DataFrame]:
+    """(lexicon, parameters, counts of words that it does not list) from all texts. Texts are dealt into groups of about
+    GROUP words by a hash of their rows. In every round each group trains the shared parameters, in the order of
+    hashes; the results are averaged by words seen. So neither files nor tasks decide a result. Only counts and
+    parameters leave a task, which holds one copy of the parameters at a time."""
+    known, counts, rest, running = lexicon(stage(count_words(df, text), "words"))
     flat = start(counts, known.classes)
     spark = df.sparkSession
+    groups, tasks = max(1, -(-running // GROUP)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grouped = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(groups)).alias("part"), F.col(text).alias("text"))
+    dealt = grouped.repartition(tasks, "part").sortWithinPartitions("part", F.xxhash64("text"), "text")
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((known, flat))
+        shared = spark.sparkContext.broadcast((vars(known), flat))
 
         def fit(batches, shared=shared):
-            known, mine = shared.value[0], shared.value[1].copy()
-            v = views(mine, known.classes, known.members)
-            seen = {n: np.full(x.shape, 1e-6, np.float32) for n, x in v.items()}
-            powers, words, part = Powers(), 0, None
+            state, given = shared.value
+            known, powers, now, words = Lexicon.of(state), Powers(), None, 0
             for batch in batches:
-                part = batch.column("part")[0].as_py() if batch.num_rows else part
-                for rows in slices(batch, "text"):
-                    padded, places, _ = windows(rows.column("text"), known, powers)
-                    for at in range(0, len(places), BATCH):
-                        step(v, seen, padded, places[at : at + BATCH])
-                    words += len(places)
+                parts = batch.column("part").to_numpy()
+                cuts = np.flatnonzero(np.diff(parts)) + 1
+                for low, high in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+                    if low == high:
+                        continue
+                    if parts[low] != now:
+                        if words:
+                            yield folds.packed(now, np.append(mine * np.float32(words), np.float32(words)))
+                        now, words, mine = int(parts[low]), 0, given.copy()
+                        v = views(mine, known.classes, known.members)
+                        seen = {n: np.full(x.shape, 1e-6, np.float32) for n, x in v.items()}
+                    for rows in slices(batch.slice(low, high - low), "text"):
+                        hashes, offsets = word_hashes(rows.column("text"), powers)
+                        padded, places = padding(known.look(hashes)[0], offsets, known.size)
+                        for at in range(0, len(places), BATCH):
+                            step(v, seen, padded, places[at : at + BATCH])
+                        words += len(places)
             if words:
-                mine *= np.float32(words)
-                yield folds.packed(part, np.append(mine, np.float32(words)))
+                yield folds.packed(now, np.append(mine * np.float32(words), np.float32(words)))
 
-        sums = folds.total(folds.numbered(df, text).mapInArrow(fit, folds.SCHEMA), np.float32, len(flat) + 1)
+        sums = folds.total(dealt.mapInArrow(fit, folds.SCHEMA), np.float32, len(flat) + 1)
         flat = sums[:-1] / sums[-1] if sums[-1] else flat
     return known, flat, rest
 
@@ -289,52 +305,44 @@ def score(df: DataFrame, model: tuple, text: str = "text", columns: list[str] |
     """Add `n_words`, `log_likelihood` (sum over all words of the whole text of log P(word | both sides)) and
     `mean_log_likelihood` (null without words) to the `columns` (all, if not given). P of a rare word is that of its
     shared id times its own share there. Only texts go to Python, slice by slice. Rare words that the lexicon does not
-    list meet their counts by an exchange of (row, word); otherwise there is none.
+    list meet their counts by an exchange of (row, word).
 
     Null and empty texts have 0 words and a sum of 0; repeated rows get equal scores; an empty table gives an empty
     one. Columns named like the added ones are replaced.
     """
-    known, flat, rest = (*model, None)[:3]
-    shared, ask = df.sparkSession.sparkContext.broadcast((known, flat)), rest is not None
+    known, flat, rest = model
+    shared = df.sparkSession.sparkContext.broadcast((vars(known), flat))
 
     @F.arrow_udf("struct<n_words:bigint,log_likelihood:double,unlisted:array<bigint>>")
     def rate(texts: pa.Array) -> pa.Array:
-        (ids, flat), powers = shared.value, Powers()
-        listed = not isinstance(ids, np.ndarray)
-        v = views(flat, ids.classes, ids.members) if listed else views(flat)
+        state, flat = shared.value
+        known, powers = Lexicon.of(state), Powers()
+        v = views(flat, known.classes, known.members)
         counts, sums, left, ends = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
         for rows in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
-            if listed:
-                hashes, offsets = word_hashes(rows.column("text"), powers)
-                words, at = ids.look(hashes)
-                padded, places = padding(words, offsets, ids.size)
-            else:
-                padded, places, offsets = windows(rows.column("text"), ids, powers)
+            hashes, offsets = word_hashes(rows.column("text"), powers)
+            words, at = known.look(hashes)
+            padded, places = padding(words, offsets, known.size)
             found = [forward(v, padded, places[at_ : at_ + 8 * BATCH]) for at_ in range(0, len(places), 8 * BATCH)]
-            each = np.concatenate([np.zeros(0), *found])
-            if listed:
-                each += ids.shares(words, at)
+            each = np.concatenate([np.zeros(0), *found]) + known.shares(words, at)
             before = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
             counts.append(np.diff(offsets))
             sums.append(before[offsets[1:]] - before[offsets[:-1]])
-            missing = np.flatnonzero(at < 0) if ask else np.zeros(0, np.int64)
+            missing = np.flatnonzero(at < 0)
             ends.append(ends[-1][-1] + np.searchsorted(missing, offsets[1:]))
-            left.append(hashes[missing].view(np.int64) if ask else missing)
+            left.append(hashes[missing].view(np.int64))
         unlisted = pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(left)))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(counts)), pa.array(np.concatenate(sums)), unlisted], ["n_words", "log_likelihood", "unlisted"])
 
     names = [c for c in columns or df.columns if c not in ("n_words", "log_likelihood", "mean_log_likelihood")]
     rated = df.withColumn("_rated", rate(F.col(text))).select(*names, "_rated")
-    total = F.col("_rated.log_likelihood")
-    if ask:
-        rated = stage(rated.withColumn("_row", F.monotonically_increasing_id()), "rated")
-        words = rated.select("_row", F.explode("_rated.unlisted").alias("word"))
-        # Logarithms are summed as whole numbers, so the order of the rows does not matter.
-        log = F.round(F.log("n") * F.lit(float(1 << 40))).cast("bigint")
-        more = words.join(rest, "word").groupBy("_row").agg((F.sum(log) / F.lit(float(1 << 40))).alias("_more"))
-        rated = rated.join(more, "_row", "left")
-        total = total + F.coalesce("_more", F.lit(0.0))
-    done = rated.select(*names, F.col("_rated.n_words").alias("n_words"), total.alias("log_likelihood"))
+    rated = stage(rated.withColumn("_row", F.monotonically_increasing_id()), "rated")
+    words = rated.select("_row", F.explode("_rated.unlisted").alias("word"))
+    # Logarithms are summed as whole numbers, so the order of the rows does not matter.
+    log = F.round(F.log("n") * F.lit(float(1 << 40))).cast("bigint")
+    more = words.join(rest, "word").groupBy("_row").agg((F.sum(log) / F.lit(float(1 << 40))).alias("_more"))
+    total = F.col("_rated.log_likelihood") + F.coalesce("_more", F.lit(0.0))
+    done = rated.join(more, "_row", "left").select(*names, F.col("_rated.n_words").alias("n_words"), total.alias("log_likelihood"))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
     return done.withColumn("mean_log_likelihood", mean)
 
