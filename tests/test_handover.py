@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tests.test_packing import B, L, SCHEMA, examples
 from tokenloom.operators import order, packing
@@ -99,7 +99,7 @@ def test_texts_are_not_exchanged_for_ids(spark, tmp_path):
 
 def test_schema_with_ids_keeps_them(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 7, "instruction": "q"}\n{"id": "seven"}\n')
-    good, broken = records.split_records(spark, str(tmp_path), records.RAW_SCHEMA.add("id", "long"))
+    good, broken = records.split_records(spark, str(tmp_path), T.StructType([T.StructField("id", T.LongType()), *records.RAW_SCHEMA.fields]))
     assert [(r.id, r.instruction) for r in good.collect()] == [(7, "q")]
     assert [(r.offset, r.line) for r in broken.collect()] == [(30, '{"id": "seven"}')]
     assert good.select(F.max("id")).first()[0] == 7

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tokenloom.queries import evaluation, noising, packing, prepare, selection, streams
+from tokenloom.queries import evaluation, noising, packing, prepare, runs, selection, streams
 
 REGISTRY = {
     **prepare.QUERIES,
@@ -11,4 +11,5 @@ REGISTRY = {
     **evaluation.QUERIES,
     **selection.QUERIES,
     **streams.QUERIES,
+    **runs.QUERIES,
 }
