@@ -83,3 +83,14 @@ def test_letters_that_decompose_are_the_library_s_ids(monkeypatch):
 def test_a_decomposed_letter_does_not_fail_the_job(spark):
     rows = spark.createDataFrame([(1, "a \u0938\u095c\u0915 b"), (2, "plain words")], "doc_id long, text string")
     assert {r.doc_id for r in packs.pack_digest(rows).collect()} == {1, 2}
+
+
+def test_equal_rows_are_spread_over_groups(spark, monkeypatch):
+    """A row that makes up most of the table, in id and text, is packed in several bounded groups."""
+    monkeypatch.setattr(packs, "GROUP_BYTES", 500)
+    rows = [(None, "the same words in every row")] * 300 + [(i, f"row {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = packs.pack_documents(df).collect()
+    hot = [r for r in got if r.doc_id is None]
+    assert sum(r.length for r in hot) == 300 * hot[0].doc_tokens
+    assert len({r.sequence_id >> 32 for r in hot}) > 3

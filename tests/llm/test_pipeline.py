@@ -63,3 +63,19 @@ def test_run_gives_the_stages_in_turn(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "minhash_near_dedup", "secret_scan", "packing"]
     assert got.count() > 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    """No rows, null and repeated rows, and extra columns named like those that stages work out."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, keep string, spans string, class_id long, g int"
+    odd = [(None, None, None, None, None, "k", "s", 1, 2), (1, "", "en", "a", 0, "k", "s", 1, 2), (2, None, "en", "a", 0, None, None, None, None)]
+    odd += [(3, "plain words that say nothing in particular about anyone " * 3, "en", "a", 168, "k", "s", 1, 2)] * 2
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            got = docs.collect()
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] or name == "packing"
+            assert bool(got) == bool(rows), name
+            if name == "minhash_near_dedup":
+                assert len([r for r in got if r.doc_id == 3]) == 1 and len(got) == len({(r.text or "") for r in got}) or not rows

@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tokenloom.llm.batches import flat, slices
 
@@ -225,35 +227,39 @@ def digest_batches(spec):
 
 
 def encode_documents(documents: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """All columns and `ids` (array<int>) of each whole text; a null text is an empty one. A column `ids` is replaced."""
+    """All columns and `ids` (array<int>) of each whole text; a null or empty text has none. Repeated rows get equal ids, an
+    empty table gives an empty one, and a column `ids` is replaced. Each text has one tokenization, so there are no ties.
+    A task compiles one automaton and holds a slice of texts at a time."""
     spec = share(documents, path)
     rows = documents.drop("ids")
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
     schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType()))])
     arrow = to_arrow_schema(schema)
 
     def work(batches):
         auto, words = Automaton(spec.value), {}
         for batch in batches:
-            ids = pa.array([auto.encode(t or "", words) for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], schema=pa.schema([*batch.schema, arrow.field("ids")]))
+            for part in slices(batch, text, TEXT_SLICE):
+                ids = pa.array([auto.encode(t or "", words) for t in part.column(text).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], schema=pa.schema([*part.schema, arrow.field("ids")]))
 
     return rows.mapInArrow(work, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """All columns and `decoded`, the text of `ids` (null ids decode to an empty text)."""
+    """All columns and `decoded`, the text of `ids` (null ids decode to an empty text). Repeated rows decode alike, an empty
+    table gives an empty one, and a column `decoded` is replaced."""
     spec = share(encoded, path)
-    from pyspark.sql import functions as F
+    rows = encoded.drop("decoded")
+    schema = StructType([*rows.schema.fields, StructField("decoded", StringType())])
+    arrow = to_arrow_schema(schema)
 
-    @F.pandas_udf("string")
-    def emit(ids):
+    def work(batches):
         auto = Automaton(spec.value)
-        return ids.map(lambda x: "" if x is None else auto.decode(list(x)))
+        for batch in batches:
+            texts = pa.array([auto.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], schema=pa.schema([*batch.schema, arrow.field("decoded")]))
 
-    return encoded.withColumn("decoded", emit("ids"))
+    return rows.mapInArrow(work, schema)
 
 
 def share(df: DataFrame, path: str | None):

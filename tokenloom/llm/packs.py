@@ -240,14 +240,16 @@ def pack_documents(documents: DataFrame, path: str | None = None, tiers: tuple[i
 
     Each document is its ids and then `end`; a null or empty text is `end` alone. Documents are dealt by hash to
     groups of about GROUP_BYTES of text, which are packed on their own, so no task needs more than a group and
-    one long document. Repeated rows are packed each. An empty table gives no rows. Columns: doc_id, start, length,
+    one long document, or what one scan task holds of equal rows. Repeated rows are packed each. Which documents share a
+    window depends on the splits of the scan; a repeated task gives the same windows. An empty table gives no rows. Columns: doc_id, start, length,
     ids (binary, little-endian unsigned 32 bits), doc_tokens, sequence_id, offset, tier, step_id.
     """
     with open(path or public_path("word_bpe_49k.json"), encoding="utf-8") as file:
         spec = documents.sparkSession.sparkContext.broadcast(file.read())
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    rows = documents.select("doc_id", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "text"), F.lit(groups)).alias("g"), "text")
+    # Rows that are equal in id and text are told apart by their scan task, so even a third of all rows makes no large group.
+    rows = documents.select("doc_id", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "text", F.spark_partition_id()), F.lit(groups)).alias("g"), "text")
     tokens = rows.mapInArrow(tokenize_batches(spec, end), "doc_id long, g long, ids binary, n long")
 
     def pack(table: pa.Table) -> pa.Table:

@@ -14,54 +14,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probability and `keep` of every document; a row per row, a null text rated as an empty one."""
     return quality.quality_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies of every document, and `keep` for one row of each; a row per row."""
     return neardup.near_duplicate_query(table(spark, sf_dir, "documents"))
 
 
 def op3_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in packed windows, repeated rows each; a null text is the closing id alone."""
     return packs.pack_digest(table(spark, sf_dir, "documents"))
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document, with the owners and repositories of each value; a row per row."""
     return secrets.secret_query(table(spark, sf_dir, "documents"))
 
 
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard, slot and grown shard of every document; equal ids, null ones too, share a shard."""
     return shards.shard_digest(table(spark, sf_dir, "documents"))
 
 
 def op6_sentence_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences, rules and licences of every document; a row per row."""
     return licenses.licence_query(table(spark, sf_dir, "documents"))
 
 
 def op7_columnar_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every query vector, ties to the smaller id; repeated rows count each."""
     return topk.top_k_query(table(spark, sf_dir, "embeddings"))
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document; a row per row, a null text as an empty one."""
     return bpe.encode_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; repeated rows follow each other."""
     return digests.digest_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summed and mean log-probability of every document's words; equal texts get equal scores."""
     return likelihood.likelihood_query(table(spark, sf_dir, "documents"))
 
 
 def op11_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups, links and corpus-wide pair counts of every document; a row per row."""
     return alignment.alignment_digest(table(spark, sf_dir, "documents"))
 
 
 def op12_relative_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document because a window over them starts earlier; rows equal in id and text are one document."""
     return factors.repeat_digest(table(spark, sf_dir, "documents"))
 
 
 def op13_hilbert_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; an empty table or one without partners gives no rows."""
     return negatives.hard_negative_query(table(spark, sf_dir, "embeddings"))
 
 

@@ -86,7 +86,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, query_block: int = Q
     queries = queries.where("id is not null and vector is not null").dropDuplicates(["id", "vector"])
     row_blocks = max(1, -(-rows.count() // row_block))
     query_blocks = max(1, -(-queries.count() // query_block))
-    number = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    # Rows of one id, even equal ones, are dealt to several blocks.
+    number = lambda n: F.pmod(F.xxhash64("id", "vector", F.spark_partition_id()), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     pairs = rows.select(number(row_blocks).alias("r"), every(query_blocks).alias("q"), F.lit(False).alias("asks"), "id", "vector").unionByName(
         queries.select(every(row_blocks).alias("r"), number(query_blocks).alias("q"), F.lit(True).alias("asks"), "id", "vector")
