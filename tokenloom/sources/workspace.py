@@ -20,10 +20,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Stage tables by application that `discard` has not removed.
+WRITTEN: dict[str, set[str]] = {}
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a stage table and read it back: cuts lineage, survives executor loss, and gives later
-    passes a scan that prunes columns."""
+    passes a scan that prunes columns. `sweep` removes what is left of them at the end of a job."""
     path = new_folder(df.sparkSession, label)
+    WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -33,8 +38,21 @@ def discard(*stages: DataFrame) -> None:
     for df in stages:
         spark = df.sparkSession
         for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(spark, name)
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove the stage tables that this application has written and not yet discarded; how many there were. For the end
+    of a job, when its results are written: DataFrames that read a stage table cannot be used afterwards."""
+    left = WRITTEN.pop(spark.sparkContext.applicationId, set())
+    for path in left:
+        _remove(spark, path)
+    return len(left)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
