@@ -63,3 +63,14 @@ def test_pieces_do_not_matter(text, monkeypatch):
     whole = digests.fingerprint(text)
     monkeypatch.setattr(digests, "PIECE", 1000)
     assert digests.fingerprint(text) == whole and digests.difference(whole, whole) == 0
+
+
+def test_large_ids_beside_missing_ones(spark):
+    rows = [((1 << 62) + 3 * i, f"text {i} " * 4) for i in range(4000)] + [(None, f"none {i}") for i in range(40)] + [((1 << 63) - 1, "last"), (-(1 << 63), "first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = digests.digest_documents(df).collect()
+    assert len(got) == len(rows)
+    known = [r for r in got if r.doc_id is not None]
+    assert sorted(r.doc_id for r in known) == sorted(i for i, _ in rows if i is not None)
+    want = {r[0]: r for r in brute(sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]))}
+    assert all(tuple(r)[:4] == want[r.doc_id][:4] for r in known if r.doc_id < (1 << 63) - 1)

@@ -6,8 +6,8 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 BUCKETS, PIECE = 128, 1 << 20
@@ -69,27 +69,26 @@ def in_ranges(documents: DataFrame, ranges: int) -> DataFrame:
     """
     keys = documents.select("doc_id", F.xxhash64("text").alias("h"), "text")
     limits = keys.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    limits = np.unique(np.array(limits, dtype=np.float64).astype(np.int64))
+    limits = np.array(sorted({min(int(x), (1 << 63) - 1) for x in limits}), dtype=np.int64)
 
-    def range_of(ids: pd.Series) -> np.ndarray:
-        known = ids.notna().to_numpy()
-        return np.where(known, 1 + np.searchsorted(limits, ids.fillna(0).to_numpy(dtype=np.int64), side="right"), 0)
+    def range_of(ids: pa.Array) -> np.ndarray:
+        known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        return np.where(known, 1 + np.searchsorted(limits, pc.fill_null(ids, 0).to_numpy(), side="right"), 0)
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(range_of(ids))
+    @F.arrow_udf("int")
+    def bucket(ids: pa.Array) -> pa.Array:
+        return pa.array(range_of(ids), pa.int32())
 
     first = keys.groupBy(bucket("doc_id").alias("bucket")).agg(F.min(F.struct("doc_id", "h")).alias("first")).collect()
     order = sorted(r.bucket for r in first)
     before = {b: order[i - 1] for i, b in enumerate(order)}
     table = {r.bucket: (r.first.doc_id, r.first.h, before[r.bucket]) for r in first}
 
-    @F.pandas_udf("int")
-    def earlier(ids: pd.Series, h: pd.Series) -> pd.Series:
-        own = range_of(ids)
-        lone = [table[b] for b in own]
-        same = [(f is None if pd.isna(i) else f == i) and g == x for (f, g, _), i, x in zip(lone, ids, h, strict=True)]
-        return pd.Series([b if s else None for (_, _, b), s in zip(lone, same, strict=True)], dtype="Int32")
+    @F.arrow_udf("int")
+    def earlier(ids: pa.Array, h: pa.Array) -> pa.Array:
+        """For rows that are the first of their range: the range before."""
+        own, ids, h = range_of(ids), ids.to_pylist(), h.to_pylist()
+        return pa.array([table[b][2] if table[b][:2] == (i, x) else None for b, i, x in zip(own.tolist(), ids, h, strict=True)], pa.int32())
 
     places = F.array(
         F.struct(bucket("doc_id").alias("bucket"), F.lit(0).alias("late")),
