@@ -65,3 +65,51 @@ def test_edges(spark):
     assert len(quality.quality_query(docs, labels).collect()) == 2
     assert len(quality.quality_query(docs, labels.limit(0)).collect()) == 2
     assert quality.quality_query(docs.limit(0), labels).collect() == []
+
+
+def test_repeated_ids_stay_within_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "dull dull")] * 300 + [(1, "other")] + [(i, f"fine word{i}") for i in range(2, 30)], "doc_id long, text string")
+    graded = spark.createDataFrame([(i, 2 if i > 1 else 0) for i in range(1, 30)], "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda found, offsets, grades, **_: seen.append((len(offsets) - 1, list(grades))) or quality.Model(np.zeros(4), np.zeros(2)))
+    quality.train(docs, graded)
+    assert seen == [(29, [0] + [2] * 28)]
+
+
+def test_fit_follows_a_plain_loop(monkeypatch):
+    """One batch a pass: slopes by differences of the summed log-likelihood, then the same steps, weight by weight."""
+    rng = np.random.default_rng(4)
+    rows = [rng.choice(16, 5, replace=False) for _ in range(40)]
+    grades = rng.integers(0, 3, 40)
+    offsets = np.arange(41) * 5
+    model = quality.fit(np.concatenate(rows).astype(np.uint32), offsets, grades, bits=4, passes=3)
+    share = [min(max(float((grades > k).mean()), 0.01), 0.99) for k in range(2)]
+    cuts = [-math.log(s / (1 - s)) for s in share]
+    weights, seen, cut_seen = [0.0] * 16, [1e-8] * 16, [1e-8] * 2
+
+    def loss(weights, cuts):
+        logistic = lambda x: 1 / (1 + math.exp(-min(max(x, -50), 50)))
+        out = 0.0
+        for row, g in zip(rows, grades, strict=True):
+            score = sum(weights[i] for i in row)
+            edges = [-math.inf, *cuts, math.inf]
+            high = 1.0 if g == 2 else logistic(edges[g + 1] - score)
+            low = 0.0 if g == 0 else logistic(edges[g] - score)
+            out -= math.log(high - low)
+        return out / len(rows)
+
+    for _ in range(3):
+        e = 1e-6
+        moved = lambda x, i, d: [v + d * (j == i) for j, v in enumerate(x)]
+        slope = [(loss(moved(weights, i, e), cuts) - loss(moved(weights, i, -e), cuts)) / (2 * e) for i in range(16)]
+        by_cut = [(loss(weights, moved(cuts, k, e)) - loss(weights, moved(cuts, k, -e))) / (2 * e) for k in range(2)]
+        for i, g in enumerate(slope):
+            seen[i] += g * g
+            pace = 0.3 / math.sqrt(seen[i])
+            w = weights[i] - pace * g
+            weights[i] = math.copysign(max(abs(w) - pace * 6e-4, 0), w)
+        for k, g in enumerate(by_cut):
+            cut_seen[k] += g * g
+            cuts[k] -= 0.3 * g / math.sqrt(cut_seen[k])
+        cuts[1] = max(cuts[1], cuts[0] + 1e-3)
+    assert np.abs(model.weights - weights).max() < 1e-3 and np.abs(model.thresholds - cuts).max() < 1e-3

@@ -112,7 +112,8 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def train(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Fit on at most `sample` graded documents (a documented bound; by hash of the id). Their ids are broadcast to
-    the documents, so no text is exchanged; the driver gets hashed features only. No grades: a model without weights."""
+    the documents, so no text is exchanged; the driver gets hashed features only. Of several rows of one id the one of
+    the least features (by bytes) is used, so the bound holds for rows too. No grades: a model without weights."""
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
 
@@ -124,8 +125,9 @@ def train(documents: DataFrame, graded: DataFrame, sample: int = SAMPLE, bits: i
                 packed = pa.array([found[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("grade"), packed], ["doc_id", "grade", "found"])
 
-    got = rows.mapInArrow(read, "doc_id long, grade int, found binary").toArrow().combine_chunks()
-    got = got.sort_by([("doc_id", "ascending"), ("found", "ascending")])
+    read_rows = rows.mapInArrow(read, "doc_id long, grade int, found binary")
+    one_each = read_rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("found").alias("found"))
+    got = one_each.toArrow().combine_chunks().sort_by("doc_id")
     each = [np.frombuffer(x, dtype=np.uint32) for x in got.column("found").to_pylist()]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     return fit(np.concatenate([np.zeros(0, np.uint32), *each]), offsets, got.column("grade").to_numpy(), bits=bits)
@@ -137,14 +139,14 @@ def score(df: DataFrame, model: Model, text: str = "text", least: float = 0.5) -
     Only texts go to Python, slice by slice; no exchange. A null text is an empty one, which has shape features only;
     repeated rows get equal scores; an empty table gives an empty one. Columns named like the added ones are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     bits = int(len(model.weights)).bit_length() - 1
 
     @F.arrow_udf("struct<expected_grade:double,tail_probability:double>")
     def rate(texts: pa.Array) -> pa.Array:
-        powers, grade, tail = Powers(), [np.zeros(0)], [np.zeros(0)]
+        model, powers, grade, tail = Model(*shared.value), Powers(), [np.zeros(0)], [np.zeros(0)]
         for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE_BYTES):
-            tails = shared.value.tails(shared.value.scores(*features(part.column("text"), powers, bits)))
+            tails = model.tails(model.scores(*features(part.column("text"), powers, bits)))
             grade.append(tails.sum(axis=1))
             tail.append(tails[:, -1])
         return pa.StructArray.from_arrays([pa.array(np.concatenate(grade)), pa.array(np.concatenate(tail))], ["expected_grade", "tail_probability"])
