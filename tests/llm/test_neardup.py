@@ -133,3 +133,28 @@ def test_small_blocks_change_nothing(spark, blocks, split, monkeypatch):
     monkeypatch.setattr(neardup, "SPLIT", split)
     got = neardup.classify(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id").where(F.col("doc_id") >= 0).collect()
     assert {r.doc_id: r.class_id for r in got} == want
+
+
+@pytest.mark.parametrize("split", [16, 1])
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, split, monkeypatch):
+    """Two copies with a changed word share one band only; in a bucket of one block or of many they are linked."""
+    monkeypatch.setattr(neardup, "BLOCK", 16 if split == 16 else 3)
+    monkeypatch.setattr(neardup, "SPLIT", split)
+    rng = np.random.default_rng(5)
+    draws = rng.integers(0, 1 << 32, (14, neardup.SAMPLES), dtype=np.uint32)
+    draws[:, : neardup.ROWS] = 7  # all of one bucket
+    draws[9] = draws[3]
+    draws[9, neardup.ROWS :: neardup.ROWS] += 1  # every other band differs in one sample
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"t{k}x{i}" for i in range(40)) for k in range(14)]
+    texts[3], texts[9] = " ".join(words), " ".join([*words[:-1], "end"])
+    assert (draws[3] == draws[9]).mean() >= neardup.LIKELY
+    marks = spark.createDataFrame([(k, 0, 99) for k in range(14)], "row long, i int, band long")
+    stars = spark.createDataFrame([(99, 0)], "band long, star long")
+    labels = spark.createDataFrame([], "row long, label long")
+    bands = [[99, *(1000 * (k + 1) + i for i in range(1, neardup.BANDS))] for k in range(14)]
+    drawn = spark.createDataFrame([(k, bands[k], draws[k].tobytes()) for k in range(14)], "row long, bands array<long>, samples binary")
+    bodies = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    idf = spark.sparkContext.broadcast(np.full(1 << neardup.FEATURE_BITS, neardup.UNIT, dtype=np.uint8))
+    got = neardup.second_links(marks, stars, labels, drawn, bodies, idf).collect()
+    assert [sorted((r.a, r.b)) for r in got] == [[3, 9]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -248,50 +249,60 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("row"), F.col("v").alias("label"))
 
 
+def agreeing(table: pa.Table, part: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, others, shares): for places x of the table, the places it is a pair with: rows of the parts `lo` and `hi` of a
+    bucket that are not yet connected, share this bucket's band as their first one, and agree in LIKELY of the samples."""
+    row, label, at = (table.column(c).to_numpy() for c in ("row", "label", part))
+    lo, hi, band = (table.column(c)[0].as_py() for c in ("lo", "hi", "i"))
+    drawn = np.stack([np.frombuffer(x, dtype=np.uint32) for x in table.column("samples").to_pylist()])
+    there = np.flatnonzero(at == hi)
+    by_sample, size = np.ascontiguousarray(drawn[there].T), drawn.shape[1]
+    for x in np.flatnonzero(at == lo):
+        share = (by_sample == drawn[x][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint16) / size
+        fit = (share >= LIKELY) & (label[there] != label[x])
+        near = np.flatnonzero(fit if lo != hi else fit & (row[there] > row[x]))
+        if len(near):
+            shared = (drawn[there[near]] == drawn[x]).reshape(len(near), BANDS, ROWS).all(axis=2)
+            near = near[shared.argmax(axis=1) == band]
+        if len(near):
+            yield x, there[near], share[near]
+
+
 def second_links(marks: DataFrame, stars: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: DataFrame, idf, least: float = LEAST) -> DataFrame:
     """(a, b) of similar texts that share a bucket and are not yet connected, as a stage table.
 
     Pairs with a bucket's star are settled already. Buckets whose other members are of several components are cut
-    into blocks of about BLOCK rows and BLOCK_BYTES of text; every two blocks meet in one bounded task. There a
-    pair is looked at in the first bucket it shares only, if its samples agree enough and nothing has connected it
-    yet, likeliest pairs first. Rows move once per pair of blocks, never per pair of texts.
-
-    A bucket of more than SPLIT blocks is first cut by a second band: its rows meet where they share another, later one too,
-    so the work does not grow with the square of a bucket of merely related texts. Two texts at similarity 0.8 share
-    one band only once in 7,000.
+    into blocks of about BLOCK rows and BLOCK_BYTES of text, and these joined to tiles of SPLIT blocks. Every two tiles
+    meet in one bounded task, with the samples alone. A pair is looked at in the first bucket it shares only, if its
+    samples agree enough and nothing has connected it yet; texts then go to just those pairs of blocks in which they
+    are part of such a pair, and are compared there, likeliest pairs first. Whatever a bucket's size, each pair in it
+    is looked at: sizes of blocks and tiles decide where, not whether. Samples move once per tile, never per pair of texts.
     """
     rest = marks.join(stars.hint("merge"), "band").where("row <> star").join(labels.hint("merge"), "row", "left")
     rest = rest.select("band", "i", "row", F.coalesce("label", "row").alias("label")).join(bodies.select("row", F.octet_length("text").alias("size")).hint("merge"), "row")
     # Staged, so that the joins below stand on exchanges alone and a hot band can be split.
-    rest = stage(rest.select("band", "i", F.lit(-1).alias("j"), "row", "label", "size"), "members")
+    rest = stage(rest.select("band", "i", "row", "label", "size"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks")
-    sized = lambda members: members.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), blocks).where("x <> y").select("band", "blocks")
-    mixed = stage(sized(rest), "mixed")
-    wide = stage(mixed.where(F.col("blocks") > SPLIT).select("band"), "mixed")
-    other = drawn.select("row", F.posexplode("bands").alias("j", "band2"))
-    again = rest.drop("j").join(wide.hint("merge"), "band").join(other.hint("merge"), "row").where("j > i")
-    again = stage(again.select(F.xxhash64("band", "band2").alias("band"), "i", "j", "row", "label", "size"), "members")
-    halves = stage(sized(again), "mixed")
-    used = rest.join(mixed.where(F.col("blocks") <= SPLIT).hint("merge"), "band").unionByName(again.join(halves.hint("merge"), "band"))
-    member = used.join(drawn.select("row", "samples"), "row").join(bodies, "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
-    met = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    met = met.select("band", "i", "j", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "row", "label", "samples", "text")
+    mixed = stage(rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), blocks).where("x <> y").select("band", "blocks"), "mixed")
+    member = rest.join(mixed.hint("merge"), "band").join(drawn.select("row", "samples"), "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    tiled = member.withColumn("tile", F.expr(f"block div {SPLIT}")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(blocks - 1) div {SPLIT}"))))
+    met = tiled.select("band", "i", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "block", "row", "label", "samples")
+
+    def meeting(table: pa.Table) -> pa.Table:
+        known, block = np.unique(table.column("block").to_numpy(), return_inverse=True)
+        meets = np.zeros((len(block), len(known)), dtype=bool)
+        for x, others, _ in agreeing(table, "tile"):
+            meets[x, block[others]] = meets[others, block[x]] = True
+        at, other = np.nonzero(meets)
+        own, other = known[block[at]], known[other]
+        rows = table.select(["band", "i", "block", "row", "label", "samples"]).take(pa.array(at))
+        return rows.append_column("lo", pa.array(np.minimum(own, other))).append_column("hi", pa.array(np.maximum(own, other)))
+
+    near = met.groupBy("band", F.col("lo").alias("x"), F.col("hi").alias("y")).applyInArrow(meeting, "band long, i int, block long, row long, label long, samples binary, lo long, hi long")
 
     def compare(table: pa.Table) -> pa.Table:
-        row, label, block = (table.column(c).to_numpy() for c in ("row", "label", "block"))
-        lo, hi, band, second = (table.column(c)[0].as_py() for c in ("lo", "hi", "i", "j"))
-        drawn = np.stack([np.frombuffer(x, dtype=np.uint32) for x in table.column("samples").to_pylist()])
-        found: list[tuple[float, int, int]] = []
-        for i in np.flatnonzero(block == lo):
-            near = np.flatnonzero((label != label[i]) & ((block == hi) if lo != hi else (row > row[i])))
-            same = drawn[near] == drawn[i]
-            shared = same.reshape(len(near), BANDS, ROWS).all(axis=2)
-            first = shared.argmax(axis=1) == band
-            if second >= 0:
-                shared[:, band] = False
-                first &= shared[:, second] & (shared.argmax(axis=1) == second)
-            share = same.mean(axis=1)
-            found += [(-share[k], i, near[k]) for k in np.flatnonzero(first & (share >= LIKELY))]
+        row, label = (table.column(c).to_numpy() for c in ("row", "label"))
+        found = [(-share, x, y) for x, others, shares in agreeing(table, "block") for y, share in zip(others, shares, strict=True)]
         weigher, sets, parent = Weigher(idf.value), {}, {}
         texts = table.column("text").combine_chunks()
         used = sorted({x for _, i, j in found for x in (i, j)})
@@ -313,8 +324,8 @@ def second_links(marks: DataFrame, stars: DataFrame, labels: DataFrame, drawn: D
                 out.append((row[i], row[j]))
         return pa.table({k: pa.array([x[n] for x in out], pa.int64()) for n, k in enumerate(("a", "b"))})
 
-    found = stage(met.groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long"), "links")
-    discard(rest, mixed, wide, again, halves)
+    found = stage(near.join(bodies.hint("merge"), "row").groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long"), "links")
+    discard(rest, mixed)
     return found
 
 
