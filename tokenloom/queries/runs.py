@@ -20,6 +20,8 @@ from tokenloom.streaming import epochs, keyed, packing as stream_packing
 from tokenloom.streaming.stop import Gate, Marker
 
 FROM_BATCH, PER_FILE = 7, 4
+#: Tokens of a micro-batch of the keyed stream, about: what its tasks hold.
+WAVE_TOKENS = 1 << 25
 LENGTH, SCALE, SHIFT, TAU = 8, 25, 4096, 0.3
 
 
@@ -40,7 +42,7 @@ def epochs_stream(spark, sf_dir):
 
 
 def stream_pack_keyed(spark, sf_dir):
-    source, sink = stream_folder(spark, sf_dir), new_folder(spark, "keyed")
+    source, sink = stream_folder(spark, sf_dir, WAVE_TOKENS), new_folder(spark, "keyed")
     stream = stream_records(spark, source, SCHEMA, FILES, glob="*.json")
     keyed.pack_keyed_stream(stream, sink, new_folder(spark, "offsets"), BLOCK, BATCH).awaitTermination()
     return widen(

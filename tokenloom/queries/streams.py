@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import functions as F
@@ -23,25 +24,30 @@ SHARDS = 3
 SCHEMA = "arrival bigint, shard int, id bigint, input_ids array<bigint>, prompt_length int"
 
 
-def stream_folder(spark, sf_dir) -> str:
+def stream_folder(spark, sf_dir, wave_tokens=None) -> str:
     """Token records in shuffled order as JSON lines: wave k holds the k-th range of arrivals.
 
     Each wave is a job of its own that writes `FILES` files, so the source, which goes by file time and
-    takes `FILES` files per trigger, meets the waves in arrival order.
+    takes `FILES` files per trigger, meets the waves in arrival order. There are `WAVES`, or more where these would hold
+    more than about `wave_tokens`: micro-batches then keep their size, and their number grows with the input.
     """
     folder = new_folder(spark, "stream")
     rows = order.assign_shards(order.order_epochs(views.tokenized(spark, sf_dir), SEED), SHARDS)
     rows = order.number_shuffled(rows).select(
         (F.col("ordinal") - 1).alias("arrival"), "shard", "id", "input_ids", "prompt_length"
     )
-    staged = new_folder(spark, "arrivals")
+    staged, parts = new_folder(spark, "arrivals"), new_folder(spark, "waves")
     rows.write.parquet(staged)
     arrived = spark.read.parquet(staged)
-    last = arrived.agg(F.max("arrival")).scalar()
-    ranged = arrived.withColumn("part", F.floor(F.col("arrival") * WAVES / (last + 1)))
-    for wave in range(WAVES):
+    last, tokens = arrived.agg(F.max("arrival"), F.sum(F.greatest(F.size("input_ids"), F.lit(0)))).first()
+    waves = max(WAVES, math.ceil(tokens / wave_tokens)) if wave_tokens else WAVES
+    ranged = arrived.withColumn("part", F.floor(F.col("arrival") * waves / (last + 1)))
+    # By wave, so that each wave's job reads its own rows only.
+    ranged.repartition(waves * FILES, "part", F.col("arrival") % FILES).write.partitionBy("part").parquet(parts)
+    ranged = spark.read.parquet(parts)
+    for wave in range(waves):
         files = ranged.where(F.col("part") == wave).drop("part").repartition(FILES, "arrival")
-        files.write.json(f"{folder}/{wave}")
+        files.write.json(f"{folder}/{wave:06d}")
     return folder
 
 

@@ -13,7 +13,10 @@ from tokenloom.operators.packing import record_defaults
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "ids array<bigint>, labels array<bigint>, next_batch bigint, examples bigint"
 BLOCKS = "shard int, lane int, batch_id bigint, chunk_id bigint, num_instruction bigint, input_ids array<bigint>, labels array<bigint>"
+NAMES = [c.split(" ")[0] for c in BLOCKS.split(", ")]
 TOTALS = "examples bigint, tokens bigint"
+#: Tokens that are put together at a time, about.
+HELD = 1 << 20
 
 
 class ShardPacker(StatefulProcessor):
@@ -29,29 +32,46 @@ class ShardPacker(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         shard, lane = key
-        came = pd.concat(list(rows)).sort_values("arrival", kind="stable")
+        frames = list(rows)
+        order = np.argsort(np.concatenate([f["arrival"].to_numpy() for f in frames]), kind="stable")
+        # Ids stay where they came, in Arrow's buffers; only HELD tokens at a time are put together.
+        examples = [x for f in frames for x in f["input_ids"]]
+        prompts = np.concatenate([f["prompt_length"].to_numpy() for f in frames])
+        sizes = np.array([len(examples[k]) for k in order], dtype=np.int64)
         held_ids, held_labels, batch, seen = self.open.get() if self.open.exists() else ([], [], 0, 0)
-        examples = [np.asarray(x, dtype=np.int64) for x in came["input_ids"]]
-        prompts = came["prompt_length"].tolist()
+        self.ids, self.labels = np.asarray(held_ids, dtype=np.int64), np.asarray(held_labels, dtype=np.int64)
+        self.batch, self.seen, made = batch, seen, False
+        part = np.cumsum(sizes) // HELD
+        for at in np.split(np.arange(len(order)), np.flatnonzero(np.diff(part)) + 1):
+            out = self.pack(shard, lane, [examples[k] for k in order[at]], prompts[order[at]])
+            if len(out):
+                made = True
+                yield out
+        self.open.update((self.ids.tolist(), self.labels.tolist(), self.batch, self.seen))
+        before = self.totals.get() if self.totals.exists() else (0, 0)
+        self.totals.update((before[0] + len(order), before[1] + int(sizes.sum())))
+        if not made:
+            yield pd.DataFrame([], columns=NAMES)
+
+    def pack(self, shard: int, lane: int, examples: list, prompts: np.ndarray) -> pd.DataFrame:
+        """The blocks that the next examples complete; the rest stays open."""
+        examples = [np.asarray(x, dtype=np.int64) for x in examples]
         labels = [np.where(np.arange(len(x)) < p, IGNORE_LABEL, x) for x, p in zip(examples, prompts, strict=True)]
-        ids = np.concatenate([np.asarray(held_ids, dtype=np.int64), *examples])
-        labels = np.concatenate([np.asarray(held_labels, dtype=np.int64), *labels])
-        ends = len(held_ids) + np.cumsum([len(x) for x in examples])
-        span, length = self.max_length * self.batch_size, self.max_length
+        ids, labels = np.concatenate([self.ids, *examples]), np.concatenate([self.labels, *labels])
+        ends = len(self.ids) + np.cumsum([len(x) for x in examples])
+        span, length, batch = self.max_length * self.batch_size, self.max_length, self.batch
         full = len(ids) // span
         # The example that fills a batch is the last one counted for it.
         done = np.searchsorted(ends, span * np.arange(1, full + 1)) + 1
-        counts = np.diff(np.concatenate([[-seen], done]))
+        counts = np.diff(np.concatenate([[-self.seen], done]))
         out = [
-            (shard, lane, batch + b, (batch + b) * self.batch_size + s, int(counts[b]), ids[at : at + length].tolist(), labels[at : at + length].tolist())
+            (shard, lane, batch + b, (batch + b) * self.batch_size + s, int(counts[b]), ids[at : at + length], labels[at : at + length])
             for b in range(full)
             for s, at in enumerate(range(b * span, (b + 1) * span, length))
         ]
-        left = len(examples) - int(done[-1]) if full else seen + len(examples)
-        self.open.update((ids[full * span :].tolist(), labels[full * span :].tolist(), batch + full, left))
-        before = self.totals.get() if self.totals.exists() else (0, 0)
-        self.totals.update((before[0] + len(examples), before[1] + sum(map(len, examples))))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in BLOCKS.split(", ")])
+        self.seen = len(examples) - int(done[-1]) if full else self.seen + len(examples)
+        self.ids, self.labels, self.batch = ids[full * span :].copy(), labels[full * span :].copy(), batch + full
+        return pd.DataFrame(out, columns=NAMES)
 
     def close(self) -> None:
         pass
@@ -63,7 +83,8 @@ def pack_keyed(stream: DataFrame, max_length: int = MAX_LENGTH, batch_size: int
     Per (shard, lane) the state holds less than one batch of tokens. With several `lanes` the arrivals of every shard are
     dealt over as many packings with numbers of their own, so that a hot shard fills several tasks; with one, the
     blocks are those of `pack_stream`. Records arrive in the order of `arrival` from one micro-batch to the next, and those
-    of one micro-batch, which the source bounds, are sorted. Missing ids are empty, a missing prompt length is 0.
+    of one micro-batch, which the source must bound, are sorted: a task holds a shard's ids of one micro-batch once, and
+    all other memory is bounded. Missing ids are empty, a missing prompt length is 0.
     """
     spark = stream.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
