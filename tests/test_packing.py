@@ -241,3 +241,28 @@ def test_written_blocks(spark, tmp_path):
         assert one.count() == sum(w[:2] == (1, 0) for w in want)
     files = {str(f) for f in tmp_path.glob("True/epoch=*/shard=*/*.parquet")}
     assert len(files) == 4
+
+
+def test_blocks_leave_in_bounded_batches(monkeypatch):
+    """A long Arrow batch of one run is cut in slices; no batch of blocks holds much more than HELD tokens."""
+    import pyarrow as pa
+
+    from tokenloom.functions import slices
+    from tokenloom.operators import cutter
+
+    def made():
+        rng, n = random.Random(3), 400
+        sizes = [rng.randrange(0, 30) for _ in range(n)]
+        whole = pa.RecordBatch.from_pydict({
+            "epoch": pa.array([0] * n, pa.int32()), "shard": pa.array([0] * n, pa.int32()), "bucket": pa.array([0] * n, pa.int64()), "cell": pa.array([0] * n, pa.int32()),
+            "cell_start": pa.array([0] * n, pa.int64()), "cell_rows": pa.array([0] * n, pa.int64()), "own": [True] * n, "n_tokens": pa.array(sizes, pa.int64()),
+            "input_ids": pa.array([list(range(s)) for s in sizes], pa.list_(pa.int64())), "prompt_length": pa.array([rng.randrange(5) for _ in range(n)], pa.int64()),
+        })
+        return list(cutter.cutter(8, 2, False)(iter([whole])))
+
+    want = pa.Table.from_batches(made()).to_pylist()
+    monkeypatch.setattr(cutter, "HELD", 64)
+    monkeypatch.setattr(slices, "ELEMENTS", 64, raising=False)
+    got = made()
+    assert max(len(b.column("input_ids").flatten()) for b in got) <= 64 + 64 + 30 + 16
+    assert pa.Table.from_batches(got).to_pylist() == want

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 from tokenloom.constants import IGNORE_LABEL
+from tokenloom.functions.slices import list_slices
 
 #: Tokens that a run holds before it emits what is complete.
 HELD = 1 << 20
@@ -115,9 +116,10 @@ def cutter(max_length: int, batch_size: int, drop_tail: bool) -> Callable:
                     if run:
                         yield from run.emit(not drop_tail)
                     run, now = Run(key[0], key[1], max_length, batch_size), key
-                run.add(batch.slice(low, high - low))
-                if run.size >= HELD:
-                    yield from run.emit()
+                for part in list_slices(batch.slice(low, high - low), "input_ids"):
+                    run.add(part)
+                    if run.size >= HELD:
+                        yield from run.emit()
         if run:
             yield from run.emit(not drop_tail)
 
