@@ -19,6 +19,7 @@ from tokenloom.functions.draws import (
     unit,
 )
 from tokenloom.functions.ids import is_eos
+from tokenloom.functions.slices import list_slices
 
 BLOCK_KEY = ("epoch", "shard", "chunk_id")
 
@@ -59,8 +60,8 @@ def noise(
     """Mask the supervised part of every block and keep labels only where it was masked.
 
     Positions with the ignore label (the prompt) keep their id even when they hold end-of-text.
-    Level and seed word are drawn per block in the JVM. The work per token runs on whole Arrow
-    batches (bounded in bytes by Spark), three times faster than the same steps as array lambdas
+    Level and seed word are drawn per block in the JVM. The work per token runs on slices of Arrow
+    batches, of bounded numbers of tokens, three times faster than the same steps as array lambdas
     (`drawn_mask`, `mask_positions`, `apply_mask`, `restore_prompt`, `restrict_labels`), whose results
     it equals. A missing block is an empty one; missing labels are all ignored ones.
     """
@@ -78,7 +79,8 @@ def noise(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield mask_record_batch(batch, mask_id, eos_ids)
+            for part in list_slices(batch, "input_ids"):
+                yield mask_record_batch(part, mask_id, eos_ids)
 
     return rows.mapInArrow(run, rows.drop("_word").schema)
 
