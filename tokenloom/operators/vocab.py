@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tokenloom.constants import UNKNOWN_ID, VOCAB_SIZE
+from tokenloom.functions.slices import list_slices
 from tokenloom.functions.text import tokens
 from tokenloom.operators.prefix import number_rows
 
@@ -95,8 +96,9 @@ def vocab_encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = table.lists(batch.column("_tokens"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], coded], names=[*kept, out])
+            for part in list_slices(batch, "_tokens"):
+                coded = table.lists(part.column("_tokens"))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], coded], names=[*kept, out])
 
     split = df.select(*kept, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("_tokens"))
     return split.mapInArrow(run, df.select(*kept).schema.add(out, T.ArrayType(T.LongType())))
@@ -125,8 +127,9 @@ def decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = pc.binary_join(table.lists(batch.column("_ids")), " ")
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], text], names=[*kept, out])
+            for part in list_slices(batch, "_ids"):
+                text = pc.binary_join(table.lists(part.column("_ids")), " ")
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], text], names=[*kept, out])
 
     column = F.col(ids).cast("array<bigint>")
     if special and skip_special:
