@@ -158,3 +158,41 @@ def test_links_do_not_depend_on_the_size_of_a_bucket(spark, split, monkeypatch):
     idf = spark.sparkContext.broadcast(np.full(1 << neardup.FEATURE_BITS, neardup.UNIT, dtype=np.uint8))
     got = neardup.second_links(marks, stars, labels, drawn, bodies, idf).collect()
     assert [sorted((r.a, r.b)) for r in got] == [[3, 9]]
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_links_do_not_depend_on_equal_samples(spark, size):
+    """Two texts at 0.8 or more of which few samples agree are linked beside others of their bucket as in one of their own."""
+    rng = np.random.default_rng(6)
+    draws = rng.integers(0, 1 << 32, (size, neardup.SAMPLES), dtype=np.uint32)
+    draws[:, : neardup.ROWS] = 7  # all of one bucket
+    assert (draws[1] == draws[2]).mean() < neardup.LIKELY
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"t{k}x{i}" for i in range(400)) for k in range(size)]
+    texts[1], texts[2] = " ".join(words), " ".join([*words[:-20], *(f"e{i}" for i in range(20))])
+    marks = spark.createDataFrame([(k, 0, 99) for k in range(size)], "row long, i int, band long")
+    stars = spark.createDataFrame([(99, 0)], "band long, star long")
+    labels = spark.createDataFrame([], "row long, label long")
+    drawn = spark.createDataFrame([(k, draws[k].tobytes()) for k in range(size)], "row long, samples binary")
+    bodies = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    idf = spark.sparkContext.broadcast(np.full(1 << neardup.FEATURE_BITS, neardup.UNIT, dtype=np.uint8))
+    got = neardup.second_links(marks, stars, labels, drawn, bodies, idf).collect()
+    assert [sorted((r.a, r.b)) for r in got] == [[1, 2]]
+
+
+def test_outlines_rule_out_no_pair(spark):
+    """The bound of two outlines is never below the similarity, also with repeated words and long texts."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (1, 5, 6, 40, 400, 5000):
+        text = [f"v{i}" for i in rng.integers(0, max(n // 3, 2), n)]
+        texts += [" ".join(text), " ".join([*text[: n - n // 10], *(f"x{i}" for i in range(n // 10))]), " ".join(text * 3), " ".join(text[::-1])]
+    table = np.full(1 << neardup.FEATURE_BITS, neardup.UNIT + 3, dtype=np.uint8)
+    idf = spark.sparkContext.broadcast(table)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").select("row", neardup.outlines(idf)("text").alias("o")).orderBy("row").collect()
+    sums = [np.frombuffer(r.o, dtype=np.float32).astype(float) for r in rows]
+    sets = [(h, w * c) for h, w, c, _, _ in neardup.Weigher(table).sets(pa.array(texts))]
+    for i in range(len(texts)):
+        for j in range(i):
+            common = np.minimum(sums[i], sums[j]).sum()
+            assert common / (sums[i].sum() + sums[j].sum() - common) >= neardup.weighted_jaccard(sets[i], sets[j]) - neardup.SLACK

@@ -23,8 +23,10 @@ FEATURE_BITS = 20
 #: Weights are whole numbers: UNIT for a shingle in all documents, UNIT + IDF_STEPS for one in a single document.
 UNIT, IDF_STEPS = 64, 16
 PROFILE_BITS = 18
-#: Below this share of equal samples a pair of similarity 0.8 is a chance of about 1 in 80,000.
+#: Pairs that share a bucket and this many of their samples are compared at once, others if their outlines allow it.
 LIKELY = 0.62
+#: Sums of an outline. Floats of 32 bits round them; SLACK is far more than that.
+OUTLINE, SLACK = 256, 1e-4
 BLOCK, BLOCK_BYTES, MEMBERS, SPLIT = 512, 1 << 22, 256, 16
 FACTORS = np.array([pow(0xD6E8FEB86659FD93, j + 1, 1 << 64) for j in range(WORDS)], dtype=np.uint64)
 
@@ -199,6 +201,20 @@ def signatures(idf):
     return F.arrow_udf(sign, "struct<key:binary,bands:array<bigint>,samples:binary>")
 
 
+def outlines(idf):
+    """Function over texts to their outlines: the weights of a text's shingles, summed by OUTLINE hash values."""
+
+    def draw(texts: pa.Array) -> pa.Array:
+        weigher, found = Weigher(idf.value), []
+        for part in slices(pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["text"]), "text"):
+            for hashes, weight, counts, _, _ in weigher.sets(part.column("text")):
+                place = (hashes & np.uint64(OUTLINE - 1)).astype(np.int64)
+                found.append(np.bincount(place, weights=weight * counts, minlength=OUTLINE).astype(np.float32).tobytes())
+        return pa.array(found, pa.binary())
+
+    return F.arrow_udf(draw, "binary")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, idf, least: float = LEAST) -> DataFrame:
     """(a, b, similarity) of the pairs (a, b) of text numbers whose weighted Jaccard similarity reaches `least`.
 
@@ -249,23 +265,34 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("row"), F.col("v").alias("label"))
 
 
-def agreeing(table: pa.Table, part: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(x, others, shares): for places x of the table, the places it is a pair with: rows of the parts `lo` and `hi` of a
-    bucket that are not yet connected, share this bucket's band as their first one, and agree in LIKELY of the samples."""
+def agreeing(table: pa.Table, part: str, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, others, shares): for places x of the table, the places it may be a pair with: rows of the parts `lo` and `hi` of a
+    bucket that are not yet connected, share this bucket's band as their first one, and can reach `least`.
+
+    Two texts have at most the smaller of their outlines' sums in common, so no pair that reaches `least` is left out.
+    `shares`, of equal samples, say which pairs are the likeliest.
+    """
     row, label, at = (table.column(c).to_numpy() for c in ("row", "label", part))
     lo, hi, band = (table.column(c)[0].as_py() for c in ("lo", "hi", "i"))
     drawn = np.stack([np.frombuffer(x, dtype=np.uint32) for x in table.column("samples").to_pylist()])
+    sums = np.stack([np.frombuffer(x, dtype=np.float32) for x in table.column("outline").to_pylist()])
+    total = sums.sum(axis=1, dtype=np.float64)
     there = np.flatnonzero(at == hi)
-    by_sample, size = np.ascontiguousarray(drawn[there].T), drawn.shape[1]
+    halves = drawn[there].view(np.uint64)
     for x in np.flatnonzero(at == lo):
-        share = (by_sample == drawn[x][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint16) / size
-        fit = (share >= LIKELY) & (label[there] != label[x])
+        light, heavy = np.minimum(total[there], total[x]), np.maximum(total[there], total[x])
+        fit = (label[there] != label[x]) & (light >= (least - SLACK) * heavy)
         near = np.flatnonzero(fit if lo != hi else fit & (row[there] > row[x]))
-        if len(near):
-            shared = (drawn[there[near]] == drawn[x]).reshape(len(near), BANDS, ROWS).all(axis=2)
-            near = near[shared.argmax(axis=1) == band]
-        if len(near):
-            yield x, there[near], share[near]
+        if band and len(near):
+            same = halves[near, : 2 * band] == drawn[x].view(np.uint64)[: 2 * band]
+            near = near[~(same[:, ::2] & same[:, 1::2]).any(axis=1)]
+        if not len(near):
+            continue
+        share = (drawn[there[near]] == drawn[x]).mean(axis=1)
+        common = np.minimum(sums[there[near]], sums[x]).sum(axis=1)
+        fit = (share >= LIKELY) | (common >= (least - SLACK) * (total[there[near]] + total[x] - common))
+        if fit.any():
+            yield x, there[near[fit]], share[fit]
 
 
 def second_links(marks: DataFrame, stars: DataFrame, labels: DataFrame, drawn: DataFrame, bodies: DataFrame, idf, least: float = LEAST) -> DataFrame:
@@ -273,10 +300,11 @@ def second_links(marks: DataFrame, stars: DataFrame, labels: DataFrame, drawn: D
 
     Pairs with a bucket's star are settled already. Buckets whose other members are of several components are cut
     into blocks of about BLOCK rows and BLOCK_BYTES of text, and these joined to tiles of SPLIT blocks. Every two tiles
-    meet in one bounded task, with the samples alone. A pair is looked at in the first bucket it shares only, if its
-    samples agree enough and nothing has connected it yet; texts then go to just those pairs of blocks in which they
-    are part of such a pair, and are compared there, likeliest pairs first. Whatever a bucket's size, each pair in it
-    is looked at: sizes of blocks and tiles decide where, not whether. Samples move once per tile, never per pair of texts.
+    meet in one bounded task, with samples and outlines alone. A pair is looked at in the first bucket it shares only, if
+    nothing has connected it yet and its outlines do not rule out `least`; texts then go to just those pairs of blocks in
+    which they are part of such a pair, and are compared there, likeliest pairs first. Whatever a bucket's size, two texts
+    of it that reach `least` are linked, as they would be in a bucket of their own: sizes of blocks and tiles decide where
+    pairs are compared, not whether. Samples and outlines move once per tile, never per pair of texts.
     """
     rest = marks.join(stars.hint("merge"), "band").where("row <> star").join(labels.hint("merge"), "row", "left")
     rest = rest.select("band", "i", "row", F.coalesce("label", "row").alias("label")).join(bodies.select("row", F.octet_length("text").alias("size")).hint("merge"), "row")
@@ -284,25 +312,28 @@ def second_links(marks: DataFrame, stars: DataFrame, labels: DataFrame, drawn: D
     rest = stage(rest.select("band", "i", "row", "label", "size"), "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks")
     mixed = stage(rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), blocks).where("x <> y").select("band", "blocks"), "mixed")
-    member = rest.join(mixed.hint("merge"), "band").join(drawn.select("row", "samples"), "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    used = stage(rest.join(mixed.hint("merge"), "band"), "members")
+    drafts = bodies.join(used.select("row").distinct().hint("merge"), "row").select("row", outlines(idf)("text").alias("outline"))
+    drafts = stage(drafts.join(drawn.select("row", "samples").hint("merge"), "row"), "outlines")
+    member = used.join(drafts, "row").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
     tiled = member.withColumn("tile", F.expr(f"block div {SPLIT}")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(blocks - 1) div {SPLIT}"))))
-    met = tiled.select("band", "i", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "block", "row", "label", "samples")
+    met = tiled.select("band", "i", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "block", "row", "label", "samples", "outline")
 
     def meeting(table: pa.Table) -> pa.Table:
         known, block = np.unique(table.column("block").to_numpy(), return_inverse=True)
         meets = np.zeros((len(block), len(known)), dtype=bool)
-        for x, others, _ in agreeing(table, "tile"):
+        for x, others, _ in agreeing(table, "tile", least):
             meets[x, block[others]] = meets[others, block[x]] = True
         at, other = np.nonzero(meets)
         own, other = known[block[at]], known[other]
-        rows = table.select(["band", "i", "block", "row", "label", "samples"]).take(pa.array(at))
+        rows = table.select(["band", "i", "block", "row", "label", "samples", "outline"]).take(pa.array(at))
         return rows.append_column("lo", pa.array(np.minimum(own, other))).append_column("hi", pa.array(np.maximum(own, other)))
 
-    near = met.groupBy("band", F.col("lo").alias("x"), F.col("hi").alias("y")).applyInArrow(meeting, "band long, i int, block long, row long, label long, samples binary, lo long, hi long")
+    near = met.groupBy("band", F.col("lo").alias("x"), F.col("hi").alias("y")).applyInArrow(meeting, "band long, i int, block long, row long, label long, samples binary, outline binary, lo long, hi long")
 
     def compare(table: pa.Table) -> pa.Table:
         row, label = (table.column(c).to_numpy() for c in ("row", "label"))
-        found = [(-share, x, y) for x, others, shares in agreeing(table, "block") for y, share in zip(others, shares, strict=True)]
+        found = [(-share, x, y) for x, others, shares in agreeing(table, "block", least) for y, share in zip(others, shares, strict=True)]
         weigher, sets, parent = Weigher(idf.value), {}, {}
         texts = table.column("text").combine_chunks()
         used = sorted({x for _, i, j in found for x in (i, j)})
@@ -325,7 +356,7 @@ def second_links(marks: DataFrame, stars: DataFrame, labels: DataFrame, drawn: D
         return pa.table({k: pa.array([x[n] for x in out], pa.int64()) for n, k in enumerate(("a", "b"))})
 
     found = stage(near.join(bodies.hint("merge"), "row").groupBy("band", "lo", "hi").applyInArrow(compare, "a long, b long"), "links")
-    discard(rest, mixed)
+    discard(rest, mixed, used, drafts)
     return found
 
 
@@ -335,7 +366,7 @@ def classify(df: DataFrame, text: str = "text", id_column: str = "doc_id", least
     A class is a connected component of texts whose weighted Jaccard similarity over TF-IDF shingles of five words
     reaches `least`; texts of one word sequence (case and punctuation aside) are one text from the start, so copies
     are never paired. Each band bucket first links its members to its first text (a star). Pairs in one bucket that
-    are then still unconnected are compared by their samples and verified, so no link found by a band is lost; a
+    are then still unconnected are verified unless a bound rules them out, so no link found by a band is lost; a
     pair at 0.8 shares no band once in 100,000. Null texts are empty; texts without words are alike only if equal;
     rows without an id come after others when `keep` is chosen, and a class of such rows has a null id. Empty tables
     give none. Columns `class_id` and `keep` are replaced.
