@@ -48,6 +48,52 @@ def test_runs_without_a_manifest_are_not_there(spark, tmp_path):
     assert handover.read_from(spark, path, 0, 0).collect() == []
 
 
+def plain_blocks(spark, batches, shards):
+    """Two blocks a batch, of ids that tell where they are from."""
+    cells = spark.range(batches * shards * 2).select(
+        F.lit(0).alias("epoch"), (F.col("id") % shards).cast("int").alias("shard"), F.expr(f"id div {2 * shards}").alias("batch_id"),
+        F.expr(f"id div {shards}").alias("chunk_id"), F.lit(1).cast("bigint").alias("num_instruction"),
+    )
+    return cells.withColumn("input_ids", F.array("chunk_id", F.col("shard").cast("bigint"))).withColumn("labels", F.col("input_ids"))
+
+
+def test_files_of_a_long_run_hold_several_parts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path)
+    monkeypatch.setattr(handover, "SAME_SIZE", 8, raising=False)
+    handover.hand_over(plain_blocks(spark, 200, 2), path, batches_per_file=2)
+    listed = handover.manifest(spark, path).collect()
+    # A row of the manifest is a part still: two batches, of two blocks each.
+    assert sorted((r.shard, r.first_batch, r.last_batch, r.blocks) for r in listed) == [(s, b, b + 1, 4) for s in (0, 1) for b in range(0, 200, 2)]
+    files = handover.files_from(spark, path, 0, 1)
+    assert len(files) == 8 + 8 + 8 + 6 and len({r.file for r in listed}) == 2 * len(files)
+    assert handover.files_from(spark, path, 0, 1, 15) == files[7:] and handover.files_from(spark, path, 0, 1, 19) == files[8:]
+    whole = [r.input_ids[0] for r in handover.read_from(spark, path, 0, 1).orderBy("chunk_id").collect()]
+    assert whole == list(range(400))
+    for start in (19, 131, 197):
+        got = handover.read_from(spark, path, 0, 1, start).orderBy("chunk_id").collect()
+        assert [(r.shard, r.batch_id, r.input_ids) for r in got] == [(1, c // 2, [c, 1]) for c in range(2 * start, 400)]
+    told = list(handover.batches(spark, path, 0, 1, 187))
+    assert [(n, t.column("chunk_id").to_pylist()) for n, t in told] == [(n, [2 * n, 2 * n + 1]) for n in range(187, 200)]
+
+
+def test_parts_of_a_file(spark):
+    for size in (1, 4, 500, 5000):
+        most = max(1, handover.MOST_BATCHES // size)
+        batch = spark.range(0, 2**40, 2**30).union(spark.range(20_000))
+        got = batch.select("id", F.col("id").alias("batch_id")).withColumn("part", handover.file_part(size)).collect()
+        first, want, width = 0, {}, 1
+        last = 20_000 // size
+        while first <= last:
+            for _ in range(handover.SAME_SIZE):
+                want.update(dict.fromkeys(range(first, first + width), first))
+                first += width
+            width = min(2 * width, 1 << (most.bit_length() - 1))
+        assert all(r.part == want[r.id // size] for r in got if r.id < 20_000)
+        assert all(0 <= r.id // size - r.part < most for r in got)
+    odd = spark.sql("SELECT * FROM VALUES (-9L), (NULL) t(batch_id)").select(handover.file_part(4).alias("part")).collect()
+    assert [r.part for r in odd] == [-2, None]
+
+
 LINES = ['{"instruction": "a", "output": "ü"}', "{broken", "", '{"instruction": "b"}', "  ", '{"instruction": 5, "output": ["x"', '{"instruction": "a", "output": "ü"}', "no json"]
 
 
